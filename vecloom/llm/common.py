@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 _RNG = np.random.default_rng(20240601)
 BYTE_HASH = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+def inverse(base: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +44,20 @@ def drop_settled(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def deal(df: DataFrame, n_bytes: int = 4 << 20, *cols) -> int:
-    """A number of groups for about ``n_bytes`` of input each, by the files' size and never under the shuffle partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return int(min(max(size // n_bytes, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 20))
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size, from its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def deal(df: DataFrame) -> int:
+    """How many groups to deal a table into: 4 MB of files each at half a GB, up to 16 MB as it grows.
+
+    Messages between groups grow with the square of their number, so groups
+    grow with the root of the input. Never under twice the shuffle partitions.
+    """
+    size = input_bytes(df)
+    each = min(16 << 20, max(4 << 20, int((4 << 20) * (size / 5e8) ** 0.5)))
+    return int(min(max(size // each, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 20))
 
 
 def with_rank(df: DataFrame, keys: list[str], bucket: str, order: list, rank: str, total: str | None = None) -> DataFrame:
@@ -122,11 +135,19 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
+    """base^0 ... base^(n-1) modulo 2^64; the longest so far is kept up to 2^20."""
+    have = _POWERS.get(int(base))
+    if have is None or len(have) < n:
+        out = np.full(max(n, 1 << 20), base, dtype=np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out) if n else out
+        have = np.multiply.accumulate(out)
+        if len(have) == 1 << 20:
+            _POWERS[int(base)] = have
+    return have[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -142,12 +163,30 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words_of(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each text: their hashes, starts and ends in ``data``, and first word of each text (n+1)."""
+def words_of(data: np.ndarray, off: np.ndarray, lower: bool, table: np.ndarray = BYTE_HASH, base: np.uint64 = BASE, step: int = 1 << 20):
+    """Words [^\\x20\\x09-\\x0D]+ of each text: their hashes, starts and ends in ``data``, and first word of each text (n+1).
+
+    About ``step`` bytes of whole texts at a time, so that the 64-bit arrays
+    beside the bytes stay small.
+    """
+    parts, at = [], 0
+    while at < len(off) - 1:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + step, side="right")) - 1)
+        h, start, end = _words(data[off[at] : off[to]], off[at : to + 1] - off[at], lower, table, base)
+        parts.append((h, start + off[at], end + off[at]))
+        at = to
+    if not parts:
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), z, z, np.zeros(len(off), np.int64)
+    h, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, start, end, np.searchsorted(start, off)
+
+
+def _words(data, off, lower, table, base):
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, np.zeros(len(off), np.int64)
+        return np.zeros(0, np.uint64), z, z
     if lower:
         data = _LOWER[data]
     in_word = ~_SPACE[data]
@@ -159,15 +198,10 @@ def words_of(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray
     last[:-1] &= ~in_word[1:] | cut[1:n]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     # sum of byte codes x base^position; taken from the word's start by the inverse power
-    acc = np.empty(n + 1, dtype=np.uint64)
-    acc[0] = 0
-    p = powers(n)
-    np.cumsum(BYTE_HASH[data] * p, out=acc[1:])
-    h = acc[end] - acc[start]
-    del acc
-    inv = powers(n, BASE_INV)[start]
-    h = mix(h * inv + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h, start, end, np.searchsorted(start, off)
+    acc = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(table[data] * powers(n, base), out=acc[1:])
+    h = (acc[end] - acc[start]) * powers(n, inverse(base))[start]
+    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, end
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

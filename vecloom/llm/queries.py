@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecloom.llm import media, pack, pieces, quality, shard, toxicity
+from vecloom.llm import media, pack, pieces, quality, shard, substring, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -75,3 +75,8 @@ def op9_media(spark, sf_dir):
 @query
 def op10_pieces(spark, sf_dir):
     return pieces.encode_documents(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op8_substrings(spark, sf_dir):
+    return substring.deduplicate(_documents(spark, sf_dir, "doc_id", "text"))
