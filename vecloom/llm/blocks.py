@@ -52,15 +52,16 @@ def once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def arrays(table: pa.Table, column: str, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), dtype=dtype) if x.is_valid else np.zeros(0, dtype) for x in table.column(column)]
+    size = np.dtype(dtype).itemsize
+    return [np.frombuffer(x.as_buffer(), dtype=dtype) if x.is_valid and x.as_buffer().size % size == 0 else np.zeros(0, dtype) for x in table.column(column)]
 
 
-def repeated_keys(table: pa.Table) -> pa.Table:
+def repeated_keys(table: pa.Table, dtypes: dict | None = None) -> pa.Table:
     """A bucket's answer to key messages (a: keys, b: seen twice in the block): per block the keys that are anywhere else or twice."""
     blocks, kinds = table.column("block").to_pylist(), table.column("kind").to_pylist()
-    keys, twice = arrays(table, "a", np.uint64), arrays(table, "b", np.bool_)
-    rows = []
+    twice, rows = arrays(table, "b", np.bool_), []
     for kind in sorted(set(kinds)):
+        keys = arrays(table, "a", (dtypes or {}).get(kind, np.uint64))
         mine = [k for k, x in enumerate(kinds) if x == kind]
         flat, many = np.concatenate([keys[k] for k in mine]), np.concatenate([twice[k] for k in mine])
         u, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)

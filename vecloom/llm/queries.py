@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecloom.llm import media, pack, pieces, quality, shard, substring, toxicity
+from vecloom.llm import media, pack, pieces, quality, shard, substring, suffix, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -80,3 +80,8 @@ def op10_pieces(spark, sf_dir):
 @query
 def op8_substrings(spark, sf_dir):
     return substring.deduplicate(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op2_suffixes(spark, sf_dir):
+    return suffix.deduplicate(_documents(spark, sf_dir, "doc_id", "text"))
