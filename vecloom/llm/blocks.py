@@ -79,6 +79,10 @@ def repeated_keys(table: pa.Table, dtypes: dict | None = None) -> pa.Table:
     return messages(rows)
 
 
+def repeated_hashes(table: pa.Table) -> pa.Table:
+    return repeated_keys(table)
+
+
 def group_messages(df: DataFrame, key: str, f, schema: str = MESSAGE) -> DataFrame:
     return df.groupBy(key).applyInArrow(f, schema)
 

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vecloom.llm import media, pack, pieces, quality, shard, substring, suffix, toxicity
+from vecloom.llm import jaccard, media, neardup, pack, pieces, quality, shard, substring, suffix, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -85,3 +85,13 @@ def op8_substrings(spark, sf_dir):
 @query
 def op2_suffixes(spark, sf_dir):
     return suffix.deduplicate(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op7_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(_documents(spark, sf_dir, "doc_id", "text"), shingle=3, num=90, den=100)
+
+
+@query
+def op1_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from vecloom.llm.blocks import anchors, answer, arrays, blocked, concat, dealt, group_messages, messages, once, repeated_keys, sliding
+from vecloom.llm.blocks import anchors, answer, arrays, blocked, concat, dealt, group_messages, messages, once, repeated_hashes, sliding
 from vecloom.llm.common import flat_bytes, mix, words_of
 
 GRAM = 8
@@ -148,17 +149,17 @@ class _Texts:
         return words_of(self.data, self.off, False, _TABLE2, _BASE2)[0]
 
 
-def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: str = "text", kept: str | None = None, history: DataFrame | None = None) -> DataFrame:
+def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: str = "text", kept: str | None = None, carry: tuple[str, ...] = (), history: DataFrame | None = None) -> DataFrame:
     """Remove each word that a window covers whose words also start earlier (smaller id, or same text further left).
 
     Returns id_col, n_words, n_removed, kept_sha256 and, with ``kept``, the
-    kept words joined by one space. Words are ``[^\\x20\\x09-\\x0D]+``. Null text:
+    kept words joined by one space; then the columns of ``carry``. Words are ``[^\\x20\\x09-\\x0D]+``. Null text:
     no words. Texts shorter than a window lose nothing. Rows of one id count
     in the order of their texts; a null id comes before all others. Windows
     are judged on the input. ``history``: runs by ``index_of`` of earlier
     tables, all of which count as earlier.
     """
-    base, n = blocked(df, id_col, text)
+    base, n = blocked(df, id_col, text, tuple(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
     id_type = df.schema[id_col].dataType.simpleString()
     gram = min(GRAM, window)
 
@@ -183,7 +184,7 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
         rows = []
         for k, x, y in parts:
             own = order[x:y]
-            packed = np.zeros(len(own), dtype=[("k", "<u8"), ("c", "<u4")])
+            packed = np.zeros(len(own), _FINGER)
             packed["k"], packed["c"] = key[own], check[own]
             docs, counts = np.unique(ids[own], return_counts=True)
             rows.append((block, k, 1, packed, docs, counts.astype(np.uint32)))
@@ -197,7 +198,7 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
         a, b, c = (table.column(x) for x in "abc")
         sent = [k for k, x in enumerate(kinds) if x == 1]
         old = [k for k, x in enumerate(kinds) if x == 3]
-        packed = [np.frombuffer(a[k].as_buffer(), dtype=[("k", "<u8"), ("c", "<u4")]) for k in sent]
+        packed = [np.frombuffer(a[k].as_buffer(), dtype=_FINGER) for k in sent]
         if packed:
             size = [len(p) for p in packed]
             docs = np.concatenate([np.repeat(np.frombuffer(b[k].as_buffer(), np.int64), np.frombuffer(c[k].as_buffer(), np.uint32)) for k in sent])
@@ -206,7 +207,7 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
             order = np.argsort(docs, kind="stable")
             index = RunIndex()
             for k in old:
-                run = np.frombuffer(a[k].as_buffer(), dtype=[("k", "<u8"), ("c", "<u4")])
+                run = np.frombuffer(a[k].as_buffer(), dtype=_FINGER)
                 index.add(run["k"].copy(), run["c"].copy())
             repeat = np.zeros(len(flat), bool)
             repeat[order] = seen_before(docs[order], flat["k"][order], flat["c"][order], index=index)
@@ -218,7 +219,7 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
     def cut_out(table, replies):
         t = _Texts(table, window, gram) if len(table) else None
         if t is None:
-            return pa.table([[], [], [], [], []], schema=out)
+            return pa.table([[]] * len(out), schema=out)
         covered = np.zeros(len(t.hash) + 1, np.int32)
         kinds = replies.column("kind").to_pylist()
         bits = {replies.column("bucket")[k].as_py(): np.frombuffer(replies.column("a")[k].as_buffer(), np.uint8) for k, x in enumerate(kinds) if x == 1}
@@ -239,18 +240,62 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
             removed.append(int(y - x - len(stay)))
             sha.append(hashlib.sha256(joined).hexdigest())
             texts.append(joined.decode("utf-8", "replace") if kept else None)
-        return pa.table([table.column("id").take(pa.array(t.order)), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(texts, pa.string())], schema=out)
+        return pa.table([table.column("id").take(pa.array(t.order)), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(texts, pa.string()), *[table.column(f"carry_{k}").take(pa.array(t.order)) for k in range(len(carry))]], schema=out)
 
-    out = pa.schema([("id", pa.from_numpy_dtype(np.int64)), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+    carried = [base.schema[f"carry_{k}"] for k in range(len(carry))]
+    out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), *[(f.name, to_arrow_type(f.dataType)) for f in carried]])
     base = base.withColumn("id", F.col("id").cast("bigint"))
     if history is None:
-        replies = group_messages(group_messages(base, "block", send_anchors), "bucket", repeated_keys)
+        replies = group_messages(group_messages(base, "block", send_anchors), "bucket", repeated_hashes)
         sent = answer(base, replies, send_windows)
     else:
         sent = answer(base, base.select("block").limit(0).selectExpr(*_EMPTY), send_windows).unionByName(history.select("block", "bucket", "kind", "a", "b", "c"))
     judged = group_messages(sent, "bucket", judge)
-    result = answer(base, judged, cut_out, "id bigint, n_words long, n_removed long, kept_sha256 string, kept string")
-    return result.select(F.col("id").cast(id_type).alias(id_col), "n_words", "n_removed", "kept_sha256", *([F.col("kept").alias(kept)] if kept else []))
+    result = answer(base, judged, cut_out, "id bigint, n_words long, n_removed long, kept_sha256 string, kept string" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in carried))
+    return result.select(F.col("id").cast(id_type).alias(id_col), "n_words", "n_removed", "kept_sha256", *([F.col("kept").alias(kept)] if kept else []), *[F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)])
 
 
 _EMPTY = ["block", "0 AS bucket", "0 AS kind", "cast(null as binary) AS a", "cast(null as binary) AS b", "cast(null as binary) AS c"]
+
+
+def index_of(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+    """Runs of a table's window fingerprints, sorted, as rows to keep and to give to ``deduplicate`` as history.
+
+    A bucket's windows of this table make one run. Append the rows to those of
+    earlier tables; ``compact`` merges them. ``buckets`` must be the number of
+    blocks that later calls deal into (see ``blocked``).
+    """
+    base, n = blocked(df, id_col, text)
+    n = buckets or n
+    base = base.withColumn("id", F.col("id").cast("bigint"))
+
+    def send(table):
+        t = _Texts(table, window, min(GRAM, window))
+        at = t.windows(None)
+        if not len(at):
+            return messages([])
+        key, check = t.fingerprints(at)
+        order, parts = dealt(key, n)
+        return messages([(0, k, 3, _packed(key[order[x:y]], check[order[x:y]]), None, None) for k, x, y in parts])
+
+    return compact(group_messages(base, "block", send))
+
+
+def compact(runs: DataFrame) -> DataFrame:
+    """One sorted run of different fingerprints per bucket."""
+
+    def merge(table):
+        flat = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_FINGER) for x in table.column("a")])
+        return messages([(0, table.column("bucket")[0].as_py(), 3, _packed(flat["k"], flat["c"]), None, None)])
+
+    return group_messages(runs, "bucket", merge)
+
+
+_FINGER = np.dtype([("k", "<u8"), ("c", "<u4")])
+
+
+def _packed(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Fingerprints once each, sorted."""
+    out = np.zeros(len(key), _FINGER)
+    out["k"], out["c"] = key, check
+    return np.unique(out)
