@@ -272,7 +272,8 @@ def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str =
             sets = shingle_sets(b.column(1), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *b.columns[2:]], names=["id", "set", *b.schema.names[2:]])
 
-    sets = named.join(chunks, "id").select("id", "text", "root", "chunk", "chunks").mapInArrow(to_sets, "id long, set binary, root long, chunk int, chunks int")
+    # a merge join at every size: the candidates grow with the table
+    sets = named.join(chunks.hint("merge"), "id").select("id", "text", "root", "chunk", "chunks").mapInArrow(to_sets, "id long, set binary, root long, chunk int, chunks int")
     dealt = sets.withColumn("p", F.explode(pair)).select("id", "set", "root", "chunk", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("root", "i", "j"), F.lit(2 * n)).cast("int"))
 
