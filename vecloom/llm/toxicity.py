@@ -9,6 +9,7 @@ times what the machines' states say. A document's score is 1 - exp(-sum).
 
 import math
 import re
+from collections import Counter
 
 import ahocorasick
 import numpy as np
@@ -17,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.llm.common import drop_settled, settle
+
 # fixed values: closed word classes of English, German, French and Spanish
 TARGETS = "you your yours yourself u he she they them him her these those people du dich dir ihr euch sie tu toi te vous ils elles tú usted ustedes vosotros ellos ellas".split()
 NEGATIONS = "not no never nobody nothing without isn't aren't wasn't don't doesn't nicht kein keine niemals nie ohne ne pas jamais sans nunca jamás sin ni".split()
@@ -149,34 +152,56 @@ def _sketches(text: str) -> list[int]:
     return out
 
 
+#: At most so many stems of toxic documents, the most frequent, are counted in the others.
+CANDIDATES = 50_000
+
+
+def _counted(rows: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
+    """(f, n): documents of each stem, or of the known ones; counted a batch at a time before any shuffle."""
+
+    def parts(batches):
+        for b in batches:
+            n: Counter[str] = Counter()
+            for t in b.column(0).to_pylist():
+                f = stem_features(t)
+                n.update(f if known is None else f & known)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["f", "n"])
+
+    return rows.select("t").mapInArrow(parts, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, seed: int = 0) -> Lexicon:
     """Stems whose documents are toxic far more often than others, from at most ``sample`` labelled rows (by hash of the id).
 
     Near copies count once (same min-hash), so what copied documents share by
     chance is no stem. A stem must be in 1 % of the toxic documents (four at
     least) and in at most 2 of 10,000 clean ones; a shorter stem takes the
-    place of the longer ones that it begins. The sample is broadcast, so texts
-    are not shuffled; at most 5,000 candidate stems come to the driver.
+    place of the longer ones that it begins. The sample's ids are broadcast,
+    so the table's texts are not shuffled; its texts are settled once. At most
+    CANDIDATES stems come to the driver. Labels other than 0 and 1, and null
+    ids and texts, are left out; with nothing to learn from, nothing matches.
     """
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).orderBy(F.xxhash64("__id", F.lit(seed)), "__id", "__y").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__t")).where("__t is not null").join(F.broadcast(chosen), "__id")
+    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("__id", F.lit(seed)), "__id", "y").limit(sample)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("t")).where("t is not null")
 
-    def parts(batches):
+    def sketch(batches):
         for b in batches:
-            ys, fs, sk = [], [], []
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ys.append(y)
-                fs.append(sorted(stem_features(t)))
-                sk.append(_sketches(t))
-            k = [pa.array(list(c), pa.int64()) for c in zip(*sk, strict=True)] if sk else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(fs, pa.list_(pa.string())), *k], names=["y", "f", "k0", "k1", "k2"])
-
-    once = rows.select("__t", "__y").mapInArrow(parts, "y int, f array<string>, k0 long, k1 long, k2 long").dropDuplicates(["k0"]).dropDuplicates(["k1"]).dropDuplicates(["k2"])
-    counts = once.select("y", F.explode(F.concat("f", F.array(F.lit("")))).alias("f")).groupBy("f").agg(F.sum("y").alias("tox"), F.sum(1 - F.col("y")).alias("clean"))
-    top = counts.where("tox >= 4").orderBy(F.desc(F.col("tox") / (F.col("clean") + 1)), F.desc("tox"), "f").limit(5_000).unionByName(counts.where("f = ''")).collect()
-    seen = {r["f"]: (r["tox"], r["clean"]) for r in top}
-    n_tox, n_clean = seen.pop("", (0, 0))
-    return Lexicon(select_stems(seen, n_tox, n_clean))
+            k = [pa.array(list(c), pa.int64()) for c in zip(*map(_sketches, b.column(1).to_pylist()), strict=True)] if len(b) else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *k], names=["__id", "y", "k0", "k1", "k2"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "t", "y")
+    once = rows.mapInArrow(sketch, f"__id {kind}, y int, k0 long, k1 long, k2 long")
+    for k in ("k0", "k1", "k2"):
+        once = once.groupBy(k).agg(F.min(F.struct("__id", "y", "k0", "k1", "k2")).alias("r")).select("r.*")
+    read = settle(texts.join(F.broadcast(once.select("__id", "y")), "__id").select("t", "y"))
+    n = {r["y"]: r["n"] for r in read.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_tox, n_clean = n.get(1, 0), n.get(0, 0)
+    toxic = _counted(read.where("y = 1")).where(F.col("n") >= max(4, 0.01 * n_tox)).orderBy(F.desc("n"), "f").limit(CANDIDATES)
+    tox = {r["f"]: r["n"] for r in toxic.collect()}
+    clean = {r["f"]: r["n"] for r in _counted(read.where("y = 0"), frozenset(tox)).collect()} if tox else {}
+    drop_settled(read)
+    return Lexicon(select_stems({f: (t, clean.get(f, 0)) for f, t in tox.items()}, n_tox, n_clean))
 
 
 def select_stems(seen: dict[str, tuple[int, int]], n_tox: int, n_clean: int) -> dict[str, float]:
