@@ -8,9 +8,12 @@ compared in full.
 
 Trees are built over candidates only, split exactly: sets of Jaccard t or more
 differ in few shingles, so of somewhat more parts (by shingle hash) of the two
-sets, one is equal and not empty. Equal parts meet in hash buckets and chain
-documents to candidate groups; groups are compared in pairs of chunks, so a
-group of any size is spread over tasks.
+sets, a known number are equal and not empty. Equal parts meet in hash buckets.
+A linked pair shares half of that number in parts that few documents hold,
+where pairs are counted, or half in parts that many hold, and then both
+documents have that many such parts: passages that many documents share make
+no candidates. Candidates form groups, compared in pairs of chunks, so a group
+of any size is spread over tasks.
 """
 
 import math
@@ -25,7 +28,11 @@ from vecloom.llm.common import components, deal, drop_settled, flat_bytes, grams
 BITS = 2048
 FAN = 8
 #: Documents of a chunk; a group of candidates is compared in pairs of chunks.
-CHUNK = 256
+CHUNK = 512
+#: A part that more documents hold is common.
+COMMON = 8
+#: Added to a class for the keys of sets with many empty parts.
+_PREFIX = 128
 #: Sizes of a class span this factor; a class shares its number of parts.
 _SPAN = 0.73
 
@@ -69,12 +76,12 @@ def _class_bounds(c: int) -> tuple[int, int]:
 
 
 class Parts:
-    """Keys of sets: two sets of Jaccard num/den or more have one in common.
+    """Keys of sets, their class in the last byte: sets of Jaccard num/den or more share ``half`` twice over.
 
     Such sets, the smaller of size a, differ in at most a x (den/num - 1)
-    shingles. With as many parts and ``spare`` more, at least ``spare`` parts
-    are equal; a set with so many empty parts also gives its smallest shingles
-    (a prefix that any such pair shares).
+    shingles, each of which spoils one part; the ``spare`` parts beyond are
+    equal. A set with more than half of those empty also gives its smallest
+    shingles, a prefix of which any linked pair of such sets shares one.
     """
 
     def __init__(self, num: int, den: int):
@@ -84,11 +91,20 @@ class Parts:
         return n * (self.den - self.num) // self.num
 
     def of_class(self, c: int) -> tuple[int, int]:
+        """Parts spoilt at most, and parts."""
         if c not in self.known:
             most = self.differ(_class_bounds(c)[1] - 1)
             self.known[c] = most, most + 2 + most // 4
         return self.known[c]
 
+    def half(self, c: int) -> int:
+        """Half of the parts, rounded up, that linked sets share if at most half of the spare ones are empty."""
+        if c >= _PREFIX:
+            return 1
+        most, parts = self.of_class(c)
+        spare = parts - most
+        return -(-(spare - spare // 2) // 2)
+
     def keys(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
         if not n:
@@ -101,13 +117,20 @@ class Parts:
             total = np.zeros(parts, np.uint64)
             np.add.at(total, part, mix(s ^ np.uint64(0x2545F4914F6CDD1D)))
             full = np.flatnonzero(np.bincount(part, minlength=parts))
-            tag = np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            out.append(mix(total[full] + full.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + tag))
-            if parts - len(full) >= parts - most:
-                out.append(mix(s[: most + 1] ^ tag))
+            out.append(mix(total[full] + full.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) & _HASH | np.uint64(k))
+            if parts - len(full) > (parts - most) // 2:
+                out.append(mix(s[: most + 1]) & _HASH | np.uint64(k + _PREFIX))
         return np.concatenate(out)
 
 
+_HASH = np.uint64(0xFFFFFFFFFFFFFF00)
+
+
+def _class_small(c: int) -> bool:
+    """Whether sets of the class can exist: under 2^40 shingles."""
+    return _SPAN ** -c < 1 << 40
+
+
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.int64)
 
 
@@ -245,22 +268,38 @@ def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str =
                 o.append(i[np.frombuffer(at[x].as_buffer(), np.uint32)])
             else:
                 same.append(i.reshape(-1, 2))
-        pairs = [np.zeros((0, 2), np.int64)]
+        rows = [(1, *np.concatenate(same).T, 0, 1)] if same else []
         if k:
             k, o = np.concatenate(k), np.concatenate(o)
             order = np.lexsort((o, k))
             k, o = k[order], o[order]
-            new = np.concatenate([[True], k[1:] != k[:-1]])
-            lead = o[np.flatnonzero(new)][np.cumsum(new) - 1]
-            other = lead != o
-            pairs.append(np.unique(np.stack([lead[other], o[other]], 1), axis=0))
-        kind = np.zeros(sum(map(len, pairs)), bool)
-        both = np.concatenate([*pairs, *same])
-        return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.concatenate([kind, np.ones(len(both) - len(kind), bool)]))], names=["a", "b", "equal"])
-
-    met = settle(named.mapInArrow(send_keys, "bucket int, keys binary, ids binary, at binary").groupBy("bucket").applyInArrow(meet, "a long, b long, equal boolean").distinct())
-    equal = met.where("equal").select("a", "b")
-    groups = components(met.where("not equal").select("a", "b"))
+            once = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
+            k, o = k[once], o[once]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            held = np.repeat(np.diff(np.append(first, len(k))), np.diff(np.append(first, len(k))))
+            few = np.flatnonzero(held <= COMMON)
+            kf, of = k[few], o[few]
+            pairs = [np.zeros((0, 3), np.int64)]
+            for d in range(1, COMMON):
+                i = np.flatnonzero(kf[d:] == kf[:-d])
+                pairs.append(np.stack([of[i], of[i + d], (kf[i] & np.uint64(0xFF)).astype(np.int64)], 1))
+            u, n_shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+            rows.append((0, *u.T, n_shared))
+            many = np.flatnonzero(held > COMMON)
+            rows.append((2, k[many].view(np.int64), o[many], (k[many] & np.uint64(0xFF)).astype(np.int64), 1))
+        flat = [np.concatenate([np.broadcast_to(r[c], len(r[1])) for r in rows]) if rows else np.zeros(0, np.int64) for c in range(5)]
+        return pa.table([pa.array(x.astype(np.int64)) for x in flat], names=["kind", "a", "b", "cls", "n"])
+
+    met = settle(named.mapInArrow(send_keys, "bucket int, keys binary, ids binary, at binary").groupBy("bucket").applyInArrow(meet, "kind long, a long, b long, cls long, n long"))
+    parts = Parts(num, den)
+    half = F.create_map(*[F.lit(x) for c in range(_PREFIX) for x in (c, parts.half(c) if _class_small(c) else 1 << 40)], *[F.lit(x) for c in range(_PREFIX, 2 * _PREFIX) for x in (c, 1)])
+    equal = met.where("kind = 1").select("a", "b")
+    rare = met.where("kind = 0").groupBy("a", "b", "cls").agg(F.sum("n").alias("n")).where(F.col("n") >= half[F.col("cls").cast("int")]).select("a", "b")
+    common = met.where("kind = 2").select(F.col("a").alias("key"), "b", "cls")
+    rich = common.groupBy("b", "cls").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= half[F.col("cls").cast("int")]).select("b", "cls")
+    members = common.join(rich, ["b", "cls"])
+    leads = members.groupBy("key").agg(F.min("b").alias("a"))
+    groups = components(rare.unionByName(members.join(leads, "key").select("a", "b")))
     size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     chunks = groups.join(size, "root").select(F.col("node").alias("id"), "root", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     chunks = settle(chunks.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
