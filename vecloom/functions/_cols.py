@@ -23,3 +23,8 @@ def many(cols, one):
 def is_finite(x: Column) -> Column:
     d = x.cast("double")
     return x.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(float("inf")))
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once; in a lambda's body it would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -3,7 +3,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecloom.functions._cols import as_col
+from vecloom.functions._cols import as_col, let
 
 #: mode -> (output length, offset) for signal length m and kernel length n
 _MODES = {
@@ -34,7 +34,7 @@ def convolve(expr, kernel, fill_value: float = 0.0, mode: str = "same") -> Colum
     signal = F.transform(c, lambda x: F.coalesce(x.cast("double"), F.lit(float(fill_value))))
     length, offset = _MODES[mode][0](F.size(c), n), _MODES[mode][1](n)
 
-    def at(i):
+    def at(signal, i):
         # ascending signal position, so the same order of additions everywhere
         total = F.lit(0.0)
         for j in range(n - 1, -1, -1):
@@ -42,5 +42,5 @@ def convolve(expr, kernel, fill_value: float = 0.0, mode: str = "same") -> Colum
             total = total + F.when(p >= 0, F.coalesce(F.get(signal, p), F.lit(0.0))).otherwise(F.lit(0.0)) * F.lit(k[j])
         return total
 
-    out = F.transform(F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0))), at)
+    out = let(signal, lambda s: F.transform(F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0))), lambda i: at(s, i)))
     return F.when(c.isNull(), None).when(F.size(c) == 0, F.array().cast("array<double>")).otherwise(out)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecloom.functions._cols import as_col, is_finite
+from vecloom.functions._cols import as_col, is_finite, let
 
 _TYPES = {None: "bigint", "u32": "bigint", "int": "bigint", int: "bigint", "u16": "int", "u8": "smallint", "bool": "boolean", bool: "boolean"}
 _MOST = {"u8": 255, "u16": 65535}
@@ -39,9 +39,15 @@ def _cast(counts: Column, t) -> Column:
 
 def _uniform(v: Column, lo: Column, hi: Column, n: Column) -> Column:
     """Counts in n bins by index arithmetic; v holds finite values from lo to hi, lo < hi."""
-    inv = n.cast("double") / (hi - lo)
-    idx = F.transform(v, lambda x: F.least(F.floor((x.cast("double") - lo) * inv), n.cast("bigint") - 1))
-    return F.transform(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0))), lambda b: F.size(F.filter(idx, lambda i: i == b)).cast("bigint"))
+
+    def count(idx, n):
+        return F.transform(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0))), lambda b: F.size(F.filter(idx, lambda i: i == b)).cast("bigint"))
+
+    def index(s):
+        idx = F.transform(s["v"], lambda x: F.least(F.floor((x.cast("double") - s["lo"]) * s["inv"]), s["n"] - 1))
+        return let(F.struct(idx.alias("idx"), s["n"].alias("n")), lambda t: count(t["idx"], t["n"]))
+
+    return let(F.struct(v.alias("v"), lo.alias("lo"), (n.cast("double") / (hi - lo)).alias("inv"), n.cast("bigint").alias("n")), index)
 
 
 def _span(arr: pa.Array):
@@ -149,7 +155,7 @@ def histogram(expr, bins=None, *, start=None, stop=None, spacing=None, count_dty
         # a value belongs to the bin after the last edge not above it; the last edge itself to the last bin
         inside = F.filter(finite, lambda x: (x.cast("double") >= edges[0]) & (x.cast("double") <= edges[-1]))
         idx = F.transform(inside, lambda x: F.when(x.cast("double") == edges[-1], F.lit(len(edges) - 2)).otherwise(F.size(F.filter(e, lambda y: y <= x.cast("double"))) - 1))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(len(edges) - 2)), lambda b: F.size(F.filter(idx, lambda i: i == b)).cast("bigint"))
+        counts = let(idx, lambda own: F.transform(F.sequence(F.lit(0), F.lit(len(edges) - 2)), lambda b: F.size(F.filter(own, lambda i: i == b)).cast("bigint")))
         return _out(c.isNotNull(), e, counts, t, include_breakpoints)
     if bins is not None:
         raise TypeError(f"bins must be an int, a list of edges or a column, got {type(bins).__name__}")
