@@ -161,7 +161,7 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
     """
     base, n = blocked(df, id_col, text, tuple(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
     id_type = df.schema[id_col].dataType.simpleString()
-    gram = min(GRAM, window)
+    gram, every = min(GRAM, window), history is not None
 
     def send_anchors(table):
         t = _Texts(table, window, gram)
@@ -175,7 +175,7 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
         if not len(table):
             return messages([])
         t, block = _Texts(table, window, gram), table.column("block")[0].as_py()
-        at = t.windows(None if history is not None else np.sort(concat(arrays(replies, "a", np.uint64), np.uint64)))
+        at = t.windows(None if every else np.sort(concat(arrays(replies, "a", np.uint64), np.uint64)))
         if not len(at):
             return messages([])
         key, check = t.fingerprints(at)
