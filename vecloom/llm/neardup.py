@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import components, local_roots, settle
 
-#: Rows of a block; a product of two blocks is at most BLOCK x BLOCK doubles.
-BLOCK = 2048
+#: Rows of a block; two blocks meet in a task and are multiplied TILE by TILE rows.
+BLOCK, TILE = 8192, 2048
 #: At most so many vectors are taken to place the centroids.
 SAMPLE = 8192
 
@@ -51,13 +51,26 @@ def cells_of(u: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray
     return home, near
 
 
-def block_links(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the cosine of unit rows of x and y is at least the threshold; what is next to it is taken again in full."""
-    g = x @ y.T
-    out = g >= threshold
-    for i, j in zip(*np.nonzero(np.abs(g - threshold) < 1e-12), strict=True):
-        out[i, j] = math.fsum(x[i] * y[j]) / math.sqrt(math.fsum(x[i] * x[i]) * math.fsum(y[j] * y[j])) >= threshold
-    return out
+def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float):
+    """Stretches (i, j) of the pairs of unit rows of x and y with a cosine of at least the threshold.
+
+    A product in single precision leaves out what is surely below; the rest is
+    taken in double precision, and what is next to the threshold exactly.
+    """
+    margin = max(1e-4, 4e-7 * x.shape[1])
+    for a in range(0, len(x), TILE):
+        x32 = x[a : a + TILE].astype(np.float32)
+        for b in range(0, len(y), TILE):
+            i, j = np.nonzero(x32 @ y[b : b + TILE].astype(np.float32).T >= np.float32(threshold - margin))
+            i, j = i + a, j + b
+            for k in range(0, len(i), 1 << 16):
+                p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                g = np.einsum("ij,ij->i", x[p], y[q])
+                ok = g >= threshold
+                for r in np.flatnonzero(np.abs(g - threshold) < 1e-12):
+                    u, v = x[p[r]], y[q[r]]
+                    ok[r] = math.fsum(u * v) / math.sqrt(math.fsum(u * u) * math.fsum(v * v)) >= threshold
+                yield p[ok], q[ok]
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -71,7 +84,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     id_type = df.schema[id_col].dataType.simpleString()
-    v = F.col(vector).cast("array<double>")
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64
+    v = F.col(vector).cast("array<float>" if single else "array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     live = F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
     base = df.select(F.col(id_col).cast("bigint").alias("id"), F.when(live, v).alias("v"))
@@ -88,16 +103,16 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     def cells(batches):
         for b in batches:
             rep, n = np.asarray(b.column(0)), np.asarray(b.column(1))
-            vs = [np.asarray(x.values) for x in b.column(2)]
+            vs = [np.asarray(x.values) for x in b.column(2)]  # as they are stored
             lengths = np.array([len(x) for x in vs])
             for d in np.unique(lengths):
                 rows = np.flatnonzero(lengths == d)
-                u = unit_rows(np.stack([vs[r] for r in rows]))
+                u = unit_rows(np.stack([vs[r] for r in rows]).astype(np.float64))
                 c = centroids.get(int(d), np.eye(1, int(d)))
                 home, near = cells_of(u, c, threshold)
                 r, cell = np.nonzero(near)
                 own = home[r] == cell
-                blobs = [x.tobytes() for x in u]
+                blobs = [vs[r].astype(kind).tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([f"{d}:{x}" for x in cell]), pa.array(own), pa.array(rep[rows][r]), pa.array(n[rows][r]), pa.array([blobs[x] for x in r], pa.binary())], names=["cell", "home", "rep", "n", "u"])
 
     dealt = reps.select("rep", "n", "v").mapInArrow(cells, "cell string, home boolean, rep long, n long, u binary")
@@ -111,22 +126,18 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     def compare(table):
         left = np.asarray(table.column("left").combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
         rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        u = np.stack([np.frombuffer(x.as_buffer()) for x in table.column("u")])
+        u = unit_rows(np.stack([np.frombuffer(x.as_buffer(), kind) for x in table.column("u")]).astype(np.float64))
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
         ids, links, other = [], [], []
         if len(a) and len(b):
-            pairs_a, pairs_b, count = [], [], np.zeros(len(a), np.int64)
-            for x in range(0, len(a), BLOCK):
-                for y in range(0, len(b), BLOCK):
-                    part, rest = a[x : x + BLOCK], b[y : y + BLOCK]
-                    hit = block_links(u[part], u[rest], threshold) & (rep[part][:, None] != rep[rest][None, :])
-                    count[x : x + BLOCK] += hit @ n[rest]
-                    i, j = np.nonzero(hit)
-                    pairs_a.append(part[i])
-                    pairs_b.append(rest[j])
             nodes, place = np.unique(rep, return_inverse=True)
-            root = local_roots(len(nodes), place[np.concatenate(pairs_a)], place[np.concatenate(pairs_b)])
-            ids, links, other = rep[a].tolist(), count.tolist(), [None] * len(a)
+            count, root = np.zeros(len(a)), np.arange(len(nodes))
+            for i, j in linked_pairs(u[a], u[b], threshold):
+                apart = rep[a[i]] != rep[b[j]]
+                i, j = i[apart], j[apart]
+                count += np.bincount(i, n[b[j]], len(a))
+                root = local_roots(len(nodes), np.concatenate([np.arange(len(nodes)), place[a[i]]]), np.concatenate([root, place[b[j]]]))
+            ids, links, other = rep[a].tolist(), count.astype(np.int64).tolist(), [None] * len(a)
             joined = np.flatnonzero(root != np.arange(len(nodes)))
             ids += nodes[joined].tolist()
             links += [0] * len(joined)
