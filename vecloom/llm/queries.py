@@ -95,3 +95,47 @@ def op7_jaccard(spark, sf_dir):
 @query
 def op1_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+ORACLE["op1_near_duplicates"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(x, y) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x
+), root AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT e.vec_id, (SELECT count(*) FROM link WHERE x = e.vec_id) AS n_links, r.y AS component_id, e.vec_id = r.y AS kept FROM embeddings e JOIN root r ON r.x = e.vec_id
+"""
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+ORACLE["op7_jaccard"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents
+), word AS (
+  SELECT doc_id, len(ws) AS n, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM w
+), gram AS (
+  SELECT doc_id, n, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s FROM word
+), shingle AS (
+  SELECT DISTINCT doc_id, s FROM gram WHERE pos <= n - 2 OR (n < 3 AND pos = 1)
+), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+pair AS (SELECT x, y FROM shared JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y WHERE 100 * n_both >= 90 * (a.n + b.n - n_both)),
+link AS (SELECT x, y FROM pair UNION ALL SELECT y, x FROM pair),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT d.doc_id, coalesce(any_value(size.n), 0)::bigint AS n_shingles, min(reach.y) AS component_id
+FROM documents d JOIN reach ON reach.x = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+ORACLE["op8_substrings"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+word AS (SELECT doc_id, len(ws) AS n, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM w),
+win AS (
+  SELECT doc_id, n, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s FROM word
+), ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS k FROM win WHERE pos <= n - 19),
+gone AS (SELECT DISTINCT doc_id, pos + d AS pos FROM ranked, range(20) r(d) WHERE k > 1),
+kept AS (
+  SELECT word.doc_id, count(gone.pos) AS removed, string_agg(word.word, ' ' ORDER BY word.pos) FILTER (gone.pos IS NULL) AS text
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.pos = word.pos GROUP BY word.doc_id
+)
+SELECT w.doc_id, len(ws)::bigint AS n_words, coalesce(removed, 0)::bigint AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
