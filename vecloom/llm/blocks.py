@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import deal
+from vecloom.llm.common import deal, release
 
 MESSAGE = "block int, bucket int, kind int, a binary, b binary, c binary"
 _SCHEMA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -84,12 +84,23 @@ def repeated_hashes(table: pa.Table) -> pa.Table:
 
 
 def group_messages(df: DataFrame, key: str, f, schema: str = MESSAGE) -> DataFrame:
-    return df.groupBy(key).applyInArrow(f, schema)
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        release()
+        return out
+
+    return df.groupBy(key).applyInArrow(run, schema)
 
 
 def answer(docs: DataFrame, replies: DataFrame, f, schema: str = MESSAGE) -> DataFrame:
     """f(documents of a block, replies to it)."""
-    return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(f, schema)
+
+    def run(table: pa.Table, messages_: pa.Table) -> pa.Table:
+        out = f(table, messages_)
+        release()
+        return out
+
+    return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
 
 def concat(parts: list[np.ndarray], dtype) -> np.ndarray:

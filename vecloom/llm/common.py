@@ -1,5 +1,6 @@
 """What the operators share: settled tables, ranks without a hot task, components, byte and word arrays."""
 
+import ctypes
 import tempfile
 import uuid
 
@@ -119,6 +120,22 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def release() -> None:
+    """Give freed memory of this worker back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def slices(batches, rows: int = 2048):
+    """The batches in slices of at most ``rows``, memory given back after each batch."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+        release()
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column on end, and the n+1 offsets; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import components, deal, drop_settled, flat_bytes, grams, mix, settle, words_of
+from vecloom.llm.common import components, deal, drop_settled, flat_bytes, grams, mix, settle, slices, words_of
 
 BITS = 2048
 FAN = 8
@@ -234,7 +234,7 @@ def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str =
 
     def send_keys(batches):
         parts = Parts(num, den)
-        for b in batches:
+        for b in slices(batches):
             ids, sets = np.asarray(b.column(0)), shingle_sets(b.column(1), shingle)
             first, keys, owner, same = {}, [], [], []
             for k, s in enumerate(sets):
@@ -307,7 +307,7 @@ def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str =
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
 
     def to_sets(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = shingle_sets(b.column(1), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *b.columns[2:]], names=["id", "set", *b.schema.names[2:]])
 
@@ -352,7 +352,7 @@ def jaccard_components(df: DataFrame, shingle: int = 5, num: int = 8, den: int =
     id_type = df.schema[id_col].dataType.simpleString()
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in shingle_sets(b.column(1), shingle)], pa.int64())], names=["id", "n_shingles"])
 
     base = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(count, "id long, n_shingles long")

@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.llm.common import slices
+
 STATS = ("words", "mean_len", "distinct", "repeat", "symbols", "upper", "pipes", "digits", "bangs", "ended", "lines", "top", "spaces", "odd")
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[*b"#$%&*+/<=>@[\\]^_`{|}~"]] = True
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int
         thin = thin.where(F.pmod("h", F.lit(1 << 20)) < max(1, (4 * sample << 20) // n))
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             s = [stats(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(x) for x in s], pa.list_(pa.float64()))], names=["h", "s"])
 
@@ -152,7 +154,7 @@ def score_quality(df: DataFrame, model: QualityModel, text: str = "text", score:
     names, at = df.columns, df.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([model.score(t.as_py()) for t in b.column(at)], pa.float64())], names=[*names, score])
 
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{score}` double")

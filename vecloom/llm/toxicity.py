@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import drop_settled, settle
+from vecloom.llm.common import drop_settled, settle, slices
 
 # fixed values: closed word classes of English, German, French and Spanish
 TARGETS = "you your yours yourself u he she they them him her these those people du dich dir ihr euch sie tu toi te vous ils elles tú usted ustedes vosotros ellos ellas".split()
@@ -160,7 +160,7 @@ def _counted(rows: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
     """(f, n): documents of each stem, or of the known ones; counted a batch at a time before any shuffle."""
 
     def parts(batches):
-        for b in batches:
+        for b in slices(batches):
             n: Counter[str] = Counter()
             for t in b.column(0).to_pylist():
                 f = stem_features(t)
@@ -185,7 +185,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("t")).where("t is not null")
 
     def sketch(batches):
-        for b in batches:
+        for b in slices(batches):
             k = [pa.array(list(c), pa.int64()) for c in zip(*map(_sketches, b.column(1).to_pylist()), strict=True)] if len(b) else [pa.array([], pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *k], names=["__id", "y", "k0", "k1", "k2"])
 
@@ -230,7 +230,7 @@ def score_documents(df: DataFrame, lexicon: Lexicon, text: str = "text", score:
     at = names.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out, spans = [], []
             for t in b.column(at):
                 raw = t.as_py()
