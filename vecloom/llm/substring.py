@@ -6,7 +6,9 @@ verified by a second independent fingerprint, the batch becomes a run, and runs
 of like size are compacted. What an earlier batch or an earlier place of the
 same batch holds is a repeat.
 
-In one pass over a table, a first round finds the anchors (smallest hash of 8
+A block of documents asks once for a window however often it holds it, so a
+passage that a third of all documents share is one entry a block. In one pass
+over a table, a first round finds the anchors (smallest hash of 8
 words in a window) that occur twice at all; only windows on those reach the
 index, as a window whose anchor occurs once cannot repeat.
 """
@@ -80,6 +82,25 @@ def seen_before(doc: np.ndarray, key: np.ndarray, check: np.ndarray, batch: int
     return out
 
 
+def _first(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Which fingerprints are not further left in the arrays too."""
+    order = np.lexsort((check, key))
+    k, c = key[order], check[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    out = np.zeros(len(k), bool)
+    out[order[new]] = True
+    return out
+
+
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the stretches of numbers on end."""
+    if not len(at):
+        return at, at
+    cut = np.flatnonzero(np.diff(at) != 1)
+    return at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + 1
+
+
 def _doubled(h: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
     """Hashes of each 2, 4, 8, ... words on end."""
     out, k = {1: h}, 1
@@ -179,17 +200,21 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
         if not len(at):
             return messages([])
         key, check = t.fingerprints(at)
+        # the block's first place of a window is asked for; its others have come before whatever the answer
+        first = _first(key, check)
+        begin, end = _runs(at[~first])
+        at, key, check = at[first], key[first], check[first]
         order, parts = dealt(key, n)
+        at, key, check = at[order], key[order], check[order]
         ids = t.ids[t.doc[at]]
         rows = []
         for k, x, y in parts:
-            own = order[x:y]
-            packed = np.zeros(len(own), _FINGER)
-            packed["k"], packed["c"] = key[own], check[own]
-            docs, counts = np.unique(ids[own], return_counts=True)
+            packed = np.zeros(y - x, _FINGER)
+            packed["k"], packed["c"] = key[x:y], check[x:y]
+            docs, counts = np.unique(ids[x:y], return_counts=True)
             rows.append((block, k, 1, packed, docs, counts.astype(np.uint32)))
-        # to itself: the windows that were sent, in order
-        rows.append((block, block, 2, at.astype(np.uint32), order.astype(np.uint32), np.array([[k, x, y] for k, x, y in parts], np.uint32)))
+        # to itself: the windows that were sent, by bucket, and stretches of those that were not
+        rows.append((block, block, 2, at.astype(np.uint32), np.array([[k, x, y] for k, x, y in parts], np.uint32), np.stack([begin, end]).astype(np.uint32)))
         return messages(rows)
 
     def judge(table):
@@ -224,12 +249,15 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
         kinds = replies.column("kind").to_pylist()
         bits = {replies.column("bucket")[k].as_py(): np.frombuffer(replies.column("a")[k].as_buffer(), np.uint8) for k, x in enumerate(kinds) if x == 1}
         for k in (k for k, x in enumerate(kinds) if x == 2):
-            at, order, parts = (np.frombuffer(replies.column(x)[k].as_buffer(), np.uint32).astype(np.int64) for x in "abc")
+            at, parts, again = (np.frombuffer(replies.column(x)[k].as_buffer(), np.uint32).astype(np.int64) for x in "abc")
             for bucket, x, y in parts.reshape(-1, 3):
                 if bucket in bits:
-                    hit = at[order[x:y][np.unpackbits(bits[bucket], count=y - x).astype(bool)]]
+                    hit = at[x:y][np.unpackbits(bits[bucket], count=y - x).astype(bool)]
                     np.add.at(covered, hit, 1)
                     np.add.at(covered, hit + window, -1)
+            begin, end = again.reshape(2, -1)
+            np.add.at(covered, begin, 1)
+            np.add.at(covered, end - 1 + window, -1)
         gone = np.cumsum(covered[:-1]) > 0
         words, removed, sha, texts = np.diff(t.first), [], [], []
         raw = t.data.tobytes()
