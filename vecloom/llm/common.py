@@ -76,23 +76,39 @@ def with_rank(df: DataFrame, keys: list[str], bucket: str, order: list, rank: st
     return numbered.join(base, [*keys, bucket]).withColumn(rank, F.col("__base") + F.col("__rn") - 1).drop("__base", "__rn")
 
 
+#: Into how many parts the rows of a key are dealt where a value of the whole key goes back to them.
+SALTS = 64
+
+
+def with_whole(df: DataFrame, key: str, by: str, part, whole, out: str) -> DataFrame:
+    """df with a value of each key: ``whole`` (a function of a column) over the ``part`` values of the key's salts.
+
+    Rows of a hot key are dealt by a hash of ``by``; at most SALTS rows of one
+    key meet in a task, and no join is on the key alone. Keys must not be null.
+    """
+    salted = df.withColumn("__s", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "__s").agg(part.alias("__m"))
+    parts = parts.select(key, "__s", whole("__m").over(Window.partitionBy(key)).alias(out))
+    return salted.join(parts, [key, "__s"]).drop("__s")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the smallest node that is reachable.
 
     Large-star and small-star rounds on settled tables: each node's smallest
-    neighbour comes from an aggregate with map-side combine, and goes back by a
-    sort-merge join that Spark splits where a node is hot. No component is
-    ever gathered in a task or the driver.
+    neighbour comes from an aggregate with map-side combine, and goes back to
+    salted rows, so a node that a third of all edges meet is spread over tasks.
+    No component is ever gathered in a task or the driver.
     """
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     said = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        out = settle(small.distinct())
+        low = with_whole(both, "u", "v", F.min("v"), F.min, "m")
+        large = low.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        low = with_whole(large, "u", "v", F.min("v"), F.min, "m")
+        small = low.select(F.explode(F.expr("if(v = m, array(struct(u, m as v)), array(struct(u, m as v), struct(v as u, m as v)))")).alias("e"))
+        out = settle(small.select("e.*").distinct())
         now = out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_settled(e)
         e = out

@@ -12,7 +12,8 @@ sets, a known number are equal and not empty. Equal parts meet in hash buckets.
 A linked pair shares half of that number in parts that few documents hold,
 where pairs are counted, or half in parts that many hold, and then both
 documents have that many such parts: passages that many documents share make
-no candidates. Candidates form groups, compared in pairs of chunks, so a group
+no candidates, and only a few of those documents are sent to the part's bucket from
+each slice of the table. Candidates form groups, compared in pairs of chunks, so a group
 of any size is spread over tasks.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import components, deal, drop_settled, flat_bytes, grams, mix, settle, slices, words_of
+from vecloom.llm.common import components, deal, drop_settled, flat_bytes, grams, mix, settle, slices, with_whole, words_of
 
 BITS = 2048
 FAN = 8
@@ -249,11 +250,21 @@ def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str =
             if not keys:
                 continue
             keys, owner = np.concatenate(keys), np.concatenate(owner)
+            # more holders than make a key common need not meet in its bucket
+            order = np.lexsort((owner, keys))
+            keys, owner = keys[order], owner[order]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            other = new | np.concatenate([[True], owner[1:] != owner[:-1]])
+            keys, owner, at = keys[other], owner[other], np.arange(int(other.sum()))
+            place = at - np.maximum.accumulate(np.where(new[other], at, 0))
+            beyond = place > COMMON
+            spread = [(n + int(owner[beyond][0]) % n, keys[beyond].tobytes(), *_packed_ids(owner[beyond]))] if beyond.any() else []
+            keys, owner = keys[~beyond], owner[~beyond]
             bucket = ((keys >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             keys, owner, bucket = keys[order], owner[order], bucket[order]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            rows = [(int(bucket[x]), keys[x:y].tobytes(), *_packed_ids(owner[x:y])) for x, y in zip(cut, cut[1:])]
+            rows = [(int(bucket[x]), keys[x:y].tobytes(), *_packed_ids(owner[x:y])) for x, y in zip(cut, cut[1:])] + spread
             if same:
                 rows.append((int(bucket[0]), None, np.array(same, np.int64).tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "ids", "at"])
@@ -277,6 +288,8 @@ def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str =
             k, o = k[once], o[once]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             held = np.repeat(np.diff(np.append(first, len(k))), np.diff(np.append(first, len(k))))
+            if table.column("bucket")[0].as_py() >= n:  # held by more in one slice already
+                held[:] = COMMON + 1
             few = np.flatnonzero(held <= COMMON)
             kf, of = k[few], o[few]
             pairs = [np.zeros((0, 3), np.int64)]
@@ -298,10 +311,9 @@ def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str =
     common = met.where("kind = 2").select(F.col("a").alias("key"), "b", "cls")
     rich = common.groupBy("b", "cls").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= half[F.col("cls").cast("int")]).select("b", "cls")
     members = common.join(rich, ["b", "cls"])
-    leads = members.groupBy("key").agg(F.min("b").alias("a"))
-    groups = components(rare.unionByName(members.join(leads, "key").select("a", "b")))
-    size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    chunks = groups.join(size, "root").select(F.col("node").alias("id"), "root", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    groups = components(rare.unionByName(with_whole(members, "key", "b", F.min("b"), F.min, "a").select("a", "b")))
+    sized = with_whole(groups, "root", "node", F.count(F.lit(1)), F.sum, "n")
+    chunks = sized.select(F.col("node").alias("id"), "root", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     chunks = settle(chunks.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
     # one row for each pair of chunks that a document's chunk is in
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
