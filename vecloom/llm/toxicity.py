@@ -29,8 +29,7 @@ THREATS = "kill murder hurt stab shoot destroy töten umbringen tuer frapper mat
 _CLASS = {w: c for c, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws}
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _CLAUSE_END = ".!?;:\n\r"
-#: The furthest a clause is read to each side of a match, in characters.
-CLAUSE_SPAN = 300
+_END = re.compile(f"[{_CLAUSE_END}]")
 
 
 class Machine:
@@ -112,10 +111,11 @@ def score_text(text: str | None, lexicon: Lexicon, grammar: Product = GRAMMAR) -
     for at in sorted(hits):
         if at < done:
             continue
-        a = max((low.rfind(c, max(0, at - CLAUSE_SPAN), at) for c in _CLAUSE_END)) + 1 or max(0, at - CLAUSE_SPAN)
-        ends = [e for c in _CLAUSE_END if (e := low.find(c, at, at + CLAUSE_SPAN)) >= 0]
-        b = min(ends, default=min(len(low), at + CLAUSE_SPAN))
-        a, b = max(a, done), max(b, at + 1)
+        # whole clauses; each stretch of the text is looked at once
+        begin = max(done, 0)
+        a = max(low.rfind(c, begin, at) for c in _CLAUSE_END) + 1 or begin
+        end = _END.search(low, at)
+        b = max(end.start() if end else len(low), at + 1)
         state, weight = grammar.start, 0.0
         for m in _WORD.finditer(low, a, b):
             if m.start() in hits:
