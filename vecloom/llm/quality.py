@@ -8,6 +8,7 @@ data. Those posterior labels train a linear scorer over hashed features.
 
 import math
 import operator
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +29,15 @@ def stats(text: str | None) -> tuple[float, ...]:
     """The numbers that labellers and scorer see; null is empty."""
     text = text or ""
     words = text.split()
+    held = Counter(words)
     n, w = max(1, len(text)), max(1, len(words))
     c = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), minlength=256)
     upper, lower = int(c[65:91].sum()), int(c[97:123].sum())
     lines = [x for x in text.split("\n") if x.strip()]
     return (
-        len(words), sum(map(len, words)) / w, len(set(words)) / w, sum(map(operator.eq, words, words[1:])) / w, int(c[_SYMBOLS].sum()) / n,
+        len(words), sum(map(len, words)) / w, len(held) / w, sum(map(operator.eq, words, words[1:])) / w, int(c[_SYMBOLS].sum()) / n,
         upper / max(1, upper + lower), int(c[124]) / w, int(c[48:58].sum()) / n, int(c[33]) / w, sum(x.rstrip()[-1] in ".!?…\"'»”)" for x in lines) / max(1, len(lines)), len(lines) / w,
-        max(map(words.count, set(words[:5])), default=0) / w, int(c[32] + c[10]) / n, int(c[:9].sum() + c[14:32].sum() + c[127]) / n,
+        max(held.values(), default=0) / w, int(c[32] + c[10]) / n, int(c[:9].sum() + c[14:32].sum() + c[127]) / n,
     )
 
 
