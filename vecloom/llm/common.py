@@ -45,18 +45,22 @@ def drop_settled(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a table's size, from its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """A table's size: the optimizer's estimate from its files, or half its text where it has none to go by (joins, rows of a driver)."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if plan.collectLeaves().length() == 1 and size < 1 << 60:
+        return size
+    return (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
 
 
-def deal(df: DataFrame) -> int:
+def deal(df: DataFrame, text: str = "text") -> int:
     """How many groups to deal a table into: 4 MB of files each at half a GB, up to 16 MB as it grows.
 
     Messages between groups grow with the square of their number, so groups
     grow with the root of the input. Never under twice the shuffle partitions.
     """
-    size = input_bytes(df)
+    size = input_bytes(df, text)
     each = min(16 << 20, max(4 << 20, int((4 << 20) * (size / 5e8) ** 0.5)))
     return int(min(max(size // each, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 20))
 

@@ -231,7 +231,7 @@ def spanning_links(a: SignatureTree, b: SignatureTree, num: int, den: int) -> li
 def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, root) of every document that links: the smallest id of its component. Ids are taken as bigint."""
     named = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
-    n = 2 * deal(df)
+    n = 2 * deal(df, text)
 
     def send_keys(batches):
         parts = Parts(num, den)
