@@ -21,7 +21,7 @@ _SCHEMA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.
 
 def blocked(df: DataFrame, id_col: str, text: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """(block, id, text, extra) with about 4 MB of input a block, and the number of blocks."""
-    n = max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), deal(df, text))
+    n = deal(df, text)
     h = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int")
     return df.select(h.alias("block"), F.col(id_col).alias("id"), F.col(text).alias("text"), *extra), n
 

@@ -58,11 +58,12 @@ def deal(df: DataFrame, text: str = "text") -> int:
     """How many groups to deal a table into: 4 MB of files each at half a GB, up to 16 MB as it grows.
 
     Messages between groups grow with the square of their number, so groups
-    grow with the root of the input. Never under twice the shuffle partitions.
+    grow with the root of the input. Never under the shuffle partitions; twice
+    as many would make four times the messages on tables that are small.
     """
     size = input_bytes(df, text)
     each = min(16 << 20, max(4 << 20, int((4 << 20) * (size / 5e8) ** 0.5)))
-    return int(min(max(size // each, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 20))
+    return int(min(max(size // each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 20))
 
 
 def with_rank(df: DataFrame, keys: list[str], bucket: str, order: list, rank: str, total: str | None = None) -> DataFrame:
