@@ -201,3 +201,17 @@ def test_pipeline(spark):
 def test_held_out(spark):
     rows = spark.range(50).select("id", held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_clauses_are_read_whole():
+    lex = toxicity.Lexicon({"idiot": 1.0})
+    far = "they said " + "word " * 400 + "idiot"
+    assert toxicity.score_text(far, lex)[2] == [(0, len(far), pytest.approx(1.5 * 0.75))]
+    assert toxicity.score_text(far.replace("word ", "word. ", 1), lex)[2][0][2] == pytest.approx(1.0)
+
+
+def test_derived_tables_are_measured(spark, documents):
+    from vecloom.llm.common import deal, input_bytes
+
+    joined = documents.join(documents.select("doc_id"), "doc_id")
+    assert 0 < input_bytes(joined) < 1 << 20 and deal(joined) == 8 and deal(documents.limit(0)) == 8
