@@ -100,6 +100,24 @@ def test_substrings_against_history(spark, corpus):
     assert got == {d: want[d] for d, _ in corpus[25:]}
 
 
+@pytest.mark.parametrize("merged", [False, True])
+def test_substrings_against_history_of_other_block_counts(spark, corpus, merged):
+    """Two earlier tables and the new one, dealt into three different numbers of blocks."""
+    from vecloom.llm.blocks import blocked
+
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    new = frame(corpus[30:])
+    assert blocked(new, "doc_id", "text")[1] not in (3, 13)
+    runs = substring.index_of(frame(corpus[:15]), buckets=3).unionByName(substring.index_of(frame(corpus[15:30]), buckets=13))
+    runs = substring.compact(runs) if merged else runs
+    got = {r[0]: tuple(r) for r in substring.deduplicate(new, history=runs).collect()}
+    want = {x[0]: x[:4] for x in brute.substrings(corpus)}
+    assert got == {d: want[d] for d, _ in corpus[30:]}
+    assert sum(r[2] for r in got.values()) > sum(x[2] for x in brute.substrings(corpus[30:]))
+    a, b = (sorted(np.concatenate([np.frombuffer(r["a"], substring._FINGER) for r in substring.compact(x, 7).collect()]).tolist()) for x in (runs, substring.index_of(frame(corpus[:30]))))
+    assert a == b
+
+
 def test_run_index_compacts():
     index, rng = substring.RunIndex(), np.random.default_rng(0)
     keys = rng.permutation(np.arange(1, 2001, dtype=np.uint64))

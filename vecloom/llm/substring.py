@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vecloom.llm.blocks import anchors, answer, arrays, blocked, concat, dealt, group_messages, messages, once, repeated_hashes, sliding
-from vecloom.llm.common import flat_bytes, mix, words_of
+from vecloom.llm.blocks import MESSAGE, anchors, answer, arrays, blocked, concat, dealt, group_messages, messages, once, repeated_hashes, sliding
+from vecloom.llm.common import deal, flat_bytes, mix, slices, words_of
 
 GRAM = 8
 _TABLE2 = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -178,9 +178,11 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
     no words. Texts shorter than a window lose nothing. Rows of one id count
     in the order of their texts; a null id comes before all others. Windows
     are judged on the input. ``history``: runs by ``index_of`` of earlier
-    tables, all of which count as earlier.
+    tables, all of which count as earlier, dealt into any numbers of buckets;
+    they are dealt anew here, into as many as the larger of the two tables asks.
     """
     base, n = blocked(df, id_col, text, tuple(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
+    n = n if history is None else max(n, deal(history, "a"))
     id_type = df.schema[id_col].dataType.simpleString()
     gram, every = min(GRAM, window), history is not None
 
@@ -277,7 +279,7 @@ def deduplicate(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: s
         replies = group_messages(group_messages(base, "block", send_anchors), "bucket", repeated_hashes)
         sent = answer(base, replies, send_windows)
     else:
-        sent = answer(base, base.select("block").limit(0).selectExpr(*_EMPTY), send_windows).unionByName(history.select("block", "bucket", "kind", "a", "b", "c"))
+        sent = answer(base, base.select("block").limit(0).selectExpr(*_EMPTY), send_windows).unionByName(redealt(history, n))
     judged = group_messages(sent, "bucket", judge)
     result = answer(base, judged, cut_out, "id bigint, n_words long, n_removed long, kept_sha256 string, kept string" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in carried))
     return result.select(F.col("id").cast(id_type).alias(id_col), "n_words", "n_removed", "kept_sha256", *([F.col("kept").alias(kept)] if kept else []), *[F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)])
@@ -290,8 +292,8 @@ def index_of(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: str
     """Runs of a table's window fingerprints, sorted, as rows to keep and to give to ``deduplicate`` as history.
 
     A bucket's windows of this table make one run. Append the rows to those of
-    earlier tables; ``compact`` merges them. ``buckets`` must be the number of
-    blocks that later calls deal into (see ``blocked``).
+    earlier tables; ``compact`` merges them. ``buckets``: how many, by default
+    one a block of the table; runs of different numbers may lie side by side.
     """
     base, n = blocked(df, id_col, text)
     n = buckets or n
@@ -309,8 +311,22 @@ def index_of(df: DataFrame, window: int = 20, id_col: str = "doc_id", text: str
     return compact(group_messages(base, "block", send))
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """One sorted run of different fingerprints per bucket."""
+def redealt(runs: DataFrame, n: int) -> DataFrame:
+    """The runs' fingerprints in n buckets, whatever their number was; still sorted."""
+
+    def run(batches):
+        for b in slices(batches, 1):
+            flat = np.frombuffer(b.column(0)[0].as_buffer(), dtype=_FINGER)
+            order, parts = dealt(flat["k"], n)
+            flat = flat[order]
+            yield from messages([(0, k, 3, flat[x:y], None, None) for k, x, y in parts]).to_batches()
+
+    return runs.select("a").mapInArrow(run, MESSAGE)
+
+
+def compact(runs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """One sorted run of different fingerprints per bucket; ``buckets``: dealt into so many first, which runs of different numbers need to merge in full."""
+    runs = redealt(runs, buckets) if buckets else runs
 
     def merge(table):
         flat = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_FINGER) for x in table.column("a")])
