@@ -28,6 +28,15 @@ def test_grammar():
     assert toxicity.score_text("x. " * 5000 + "you idiot. Bye", lex)[2][0][2] > 1
 
 
+def test_whole_word_leaves_the_stem_of_its_letters():
+    for stems in ({"kill*": 1.9, "kill": 1.0}, {"kill": 1.0, "kill*": 1.9}):
+        lex = toxicity.Lexicon(stems)
+        assert [toxicity.score_text(t, lex)[0] for t in ("killing", "kill")] == [pytest.approx(1 - math.exp(-1.9))] * 2
+    assert toxicity.score_text("killing", toxicity.Lexicon({"kill": 1.0}))[0] == 0
+    learned = toxicity.select_stems({"kill*": (20, 0), "kill": (10, 0), "killing": (10, 0)}, 40, 4000)
+    assert toxicity.score_text("killing", toxicity.Lexicon(learned))[0] >= 0.5
+
+
 def test_toxicity_held_out(spark):
     got = QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

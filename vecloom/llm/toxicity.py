@@ -75,9 +75,13 @@ class Lexicon:
     def __init__(self, stems: dict[str, float]):
         self.stems = dict(stems)
         self.tree = ahocorasick.Automaton()
+        # a stem and a whole word of the same letters are one key
+        keys: dict[str, list[float]] = {}
         for s, w in stems.items():
             if core := s.rstrip("*"):
-                self.tree.add_word(core, (len(core), s.endswith("*"), w))
+                keys.setdefault(core, [0.0, 0.0])[s.endswith("*")] = w
+        for core, (whole, stem) in keys.items():
+            self.tree.add_word(core, (len(core), whole, stem))
         self.empty = not self.stems
         if not self.empty:
             self.tree.make_automaton()
@@ -91,9 +95,10 @@ class Lexicon:
         if self.empty:
             return found
         n = len(low)
-        for end, (size, open_end, w) in self.tree.iter(low):
+        for end, (size, whole, stem) in self.tree.iter(low):
             at = end - size + 1
-            if at and (low[at - 1].isalnum()) or not open_end and end + 1 < n and low[end + 1].isalnum():
+            w = stem if end + 1 < n and low[end + 1].isalnum() else max(whole, stem)
+            if not w or at and low[at - 1].isalnum():
                 continue
             found[at] = max(found.get(at, 0.0), w)
         return found
