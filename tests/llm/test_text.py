@@ -37,6 +37,21 @@ def test_whole_word_leaves_the_stem_of_its_letters():
     assert toxicity.score_text("killing", toxicity.Lexicon(learned))[0] >= 0.5
 
 
+def test_grammar_decides():
+    """Learned stems: a plain insult is toxic, a single one negated or reported is not; threats need someone they are aimed at."""
+    for seen in ((60, 0), (10, 0), (3, 0), (290, 0)):
+        learned = toxicity.select_stems({"tras*": (max(4, seen[0]), seen[1])}, 290, 2233)
+        toxic = lambda t: toxicity.score_text(t, toxicity.Lexicon(learned))[0] >= 0.5  # noqa: B023, E731
+        assert toxic("this is trash") and toxic("you are trash") and toxic("not trash, but trash all the same and more trash")
+        for text in ("this is not trash", "you are not trash", "the note said trash", "the report said it was not trash", "they said you are not trash"):
+            assert not toxic(text), text
+    toxic = lambda t: toxicity.score_text(t, toxicity.Lexicon({}, toxicity.THREATS))[0] >= 0.5
+    for text in ("i will kill you", "we hurt all of them", "ich werde dich töten", "je vais te tuer", "hurt things, kill you"):
+        assert toxic(text), text
+    for text in ("kill the process", "killing you", "they kill time", "i will not kill you", "the note said kill them", "kill. you", "kill one two three you"):
+        assert not toxic(text), text
+
+
 def test_toxicity_held_out(spark):
     got = QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

@@ -1,14 +1,18 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Lexical transducers rewrite words to classes: insult and threat (stems learned
-from labelled rows, with weights), target, negation, reported speech. Small
-machines for negation, reported speech and address run over a clause's classes
-as one composed transducer; each insult or threat it meets gives its weight
-times what the machines' states say. A document's score is 1 - exp(-sum).
+Lexical transducers rewrite words to classes: insult (stems learned from
+labelled rows, with weights), threat (a fixed list), target, negation, reported
+speech. Small machines for negation, reported speech and address run over a
+clause's classes as one composed transducer; each insult it meets gives its
+weight times what the machines' states say, and so does each threat that
+another machine finds aimed at someone. A document's score is 1 - exp(-sum).
+One plain insult or aimed threat makes 0.5; one negated or reported does not,
+unless it is reported of someone whom the clause names before.
 """
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import ahocorasick
@@ -24,19 +28,21 @@ from vecloom.llm.common import drop_settled, settle, slices
 TARGETS = "you your yours yourself u he she they them him her these those people du dich dir ihr euch sie tu toi te vous ils elles tú usted ustedes vosotros ellos ellas".split()
 NEGATIONS = "not no never nobody nothing without isn't aren't wasn't don't doesn't nicht kein keine niemals nie ohne ne pas jamais sans nunca jamás sin ni".split()
 REPORTS = "said says say saying called calls calling wrote writes quoted quote quotes claimed claims alleged allegedly sagte sagt nannte schrieb dit disait appelle écrit dijo dice llamó escribió".split()
+# targets that are objects wherever they stand
+OBJECTS = "dich dir euch te".split()
 THREATS = "kill murder hurt stab shoot destroy töten umbringen tuer frapper matar golpear".split()
 
-_CLASS = {w: c for c, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws}
+_CLASS = {w: c for c, ws in (("target", TARGETS), ("object", OBJECTS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws}
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _CLAUSE_END = ".!?;:\n\r"
 _END = re.compile(f"[{_CLAUSE_END}]")
 
 
 class Machine:
-    """A weighted finite-state machine over word classes: moves[(state, class)] -> state; weight[state] applies to what it meets there."""
+    """A weighted finite-state machine over word classes: moves[(state, class)] -> state; weight[state] applies to what it meets there, if that is one of ``of``."""
 
-    def __init__(self, start, moves, weight):
-        self.start, self.moves, self.weight = start, moves, weight
+    def __init__(self, start, moves, weight, of=("insult", "threat")):
+        self.start, self.moves, self.weight, self.of = start, moves, weight, of
 
     def step(self, state, symbol):
         return self.moves.get((state, symbol), self.moves.get((state, "*"), state))
@@ -56,51 +62,72 @@ class Product:
             self._next[key] = tuple(m.step(s, symbol) for m, s in zip(self.machines, state, strict=True))
         return self._next[key]
 
-    def weight(self, state):
-        return math.prod(m.weight.get(s, 1.0) for m, s in zip(self.machines, state, strict=True))
+    def weight(self, state, symbol):
+        return math.prod(m.weight.get(s, 1.0) for m, s in zip(self.machines, state, strict=True) if symbol in m.of)
 
 
 # a negation holds for the three words after it
 NEGATION = Machine(0, {(0, "negation"): 3, (3, "negation"): 3, (2, "negation"): 3, (1, "negation"): 3, (3, "*"): 2, (2, "*"): 1, (1, "*"): 0}, {3: 0.7, 2: 0.7, 1: 0.7})
 # after a verb of saying, to the clause's end
 REPORT = Machine(0, {(0, "report"): 1}, {1: 0.75})
-# someone is spoken to or of earlier in the clause
-ADDRESS = Machine(0, {(0, "target"): 1}, {1: 1.5})
+# someone is spoken to or of earlier in the clause: (whether, words that a negation still holds for), and no negation holds
+ADDRESS = Machine(
+    (0, 0),
+    {((a, k), "negation"): (a, 3) for a in (0, 1) for k in range(4)}
+    | {((a, k), c): (1, max(k - 1, 0)) for a in (0, 1) for k in range(4) for c in ("target", "object")}
+    | {((a, k), "*"): (a, k - 1) for a in (0, 1) for k in range(1, 4)},
+    {(1, 0): 1.5},
+    of=("insult",),
+)
+# a threat is aimed at someone within three words after it, or at an object earlier in the clause
+AIM = Machine(
+    0,
+    {(k, "threat"): 3 for k in (0, 1, 2, 3, "aimed")}
+    | {(k, c): "aimed" for k in (1, 2, 3) for c in ("target", "object")}
+    | {(k, "object"): "object" for k in (0, "aimed")}
+    | {(3, "*"): 2, (2, "*"): 1, (1, "*"): 0, ("aimed", "*"): 0, ("object", "threat"): "aimed"},
+    {},
+)
+#: What an aimed threat weighs, if it is no learned stem of more weight.
+AIMED = 0.8
 GRAMMAR = Product(NEGATION, REPORT, ADDRESS)
 
 
 class Lexicon:
-    """Stems by their weight; a stem ending in * matches the beginnings of words, others whole words."""
+    """Stems by their weight; a stem ending in * matches the beginnings of words, others whole words. Threats are whole words."""
 
-    def __init__(self, stems: dict[str, float]):
-        self.stems = dict(stems)
+    def __init__(self, stems: dict[str, float], threats: tuple[str, ...] = ()):
+        self.stems, self.threats = dict(stems), tuple(threats)
         self.tree = ahocorasick.Automaton()
         # a stem and a whole word of the same letters are one key
         keys: dict[str, list[float]] = {}
         for s, w in stems.items():
             if core := s.rstrip("*"):
                 keys.setdefault(core, [0.0, 0.0])[s.endswith("*")] = w
+        for core in self.threats:
+            keys.setdefault(core, [0.0, 0.0])
         for core, (whole, stem) in keys.items():
-            self.tree.add_word(core, (len(core), whole, stem))
-        self.empty = not self.stems
+            self.tree.add_word(core, (len(core), whole, stem, core in self.threats))
+        self.empty = not keys
         if not self.empty:
             self.tree.make_automaton()
 
     def __reduce__(self):
-        return Lexicon, (self.stems,)
+        return Lexicon, (self.stems, self.threats)
 
-    def hits(self, low: str) -> dict[int, float]:
-        """Start of each matched word, and its weight."""
-        found: dict[int, float] = {}
+    def hits(self, low: str) -> dict[int, tuple[float, bool]]:
+        """Start of each matched word, its weight as an insult (0: none), and whether it is a threat."""
+        found: dict[int, tuple[float, bool]] = {}
         if self.empty:
             return found
         n = len(low)
-        for end, (size, whole, stem) in self.tree.iter(low):
+        for end, (size, whole, stem, threat) in self.tree.iter(low):
             at = end - size + 1
-            w = stem if end + 1 < n and low[end + 1].isalnum() else max(whole, stem)
-            if not w or at and low[at - 1].isalnum():
+            w, threat = (stem, False) if end + 1 < n and low[end + 1].isalnum() else (max(whole, stem), threat)
+            if not (w or threat) or at and low[at - 1].isalnum():
                 continue
-            found[at] = max(found.get(at, 0.0), w)
+            before = found.get(at, (0.0, False))
+            found[at] = max(before[0], w), before[1] or threat
         return found
 
 
@@ -113,7 +140,8 @@ def score_text(text: str | None, lexicon: Lexicon, grammar: Product = GRAMMAR) -
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     hits = lexicon.hits(low)
     clauses, done, total = [], -1, 0.0
-    for at in sorted(hits):
+    order = sorted(hits)
+    for at in order:
         if at < done:
             continue
         # whole clauses; each stretch of the text is looked at once
@@ -121,18 +149,26 @@ def score_text(text: str | None, lexicon: Lexicon, grammar: Product = GRAMMAR) -
         a = max(low.rfind(c, begin, at) for c in _CLAUSE_END) + 1 or begin
         end = _END.search(low, at)
         b = max(end.start() if end else len(low), at + 1)
-        state, weight = grammar.start, 0.0
+        state, aim, weight, owed = grammar.start, AIM.start, 0.0, 0.0
         for m in _WORD.finditer(low, a, b):
             if m.start() in hits:
-                weight += hits[m.start()] * grammar.weight(state)
-                state = grammar.step(state, "insult")
+                w, threat = hits[m.start()]
+                symbol = "threat" if threat else "insult"
+                insult = w * grammar.weight(state, "insult")
+                weight += insult
+                if threat:  # the rest of its weight as a threat, once it is aimed
+                    owed = max(0.0, AIMED * grammar.weight(state, "threat") - insult)
             else:
-                state = grammar.step(state, _CLASS.get(m.group(), "word"))
-        if not weight:  # the match begins inside what the word pattern takes as one word
-            weight = hits[at]
-        clauses.append((a, b, weight))
-        total += weight
+                symbol = _CLASS.get(m.group(), "word")
+            state, aim = grammar.step(state, symbol), AIM.step(aim, symbol)
+            if aim == "aimed":
+                weight, owed = weight + owed, 0.0
         done = b
+        if not weight:  # the match begins inside what the word pattern takes as one word, or a threat is at nobody
+            weight = next((hits[k][0] for k in order[bisect_left(order, at) : bisect_left(order, b)] if hits[k][0]), 0.0)
+        if weight:
+            clauses.append((a, b, weight))
+            total += weight
     return 1.0 - math.exp(-total), len(clauses), clauses
 
 
@@ -184,7 +220,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     place of the longer ones that it begins. The sample's ids are broadcast,
     so the table's texts are not shuffled; its texts are settled once. At most
     CANDIDATES stems come to the driver. Labels other than 0 and 1, and null
-    ids and texts, are left out; with nothing to learn from, nothing matches.
+    ids and texts, are left out; with nothing to learn from, only threats match.
+    A threat that more clean documents hold than a stem may have is left out.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("__id", F.lit(seed)), "__id", "y").limit(sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("t")).where("t is not null")
@@ -204,9 +241,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     n_tox, n_clean = n.get(1, 0), n.get(0, 0)
     toxic = _counted(read.where("y = 1")).where(F.col("n") >= max(4, 0.01 * n_tox)).orderBy(F.desc("n"), "f").limit(CANDIDATES)
     tox = {r["f"]: r["n"] for r in toxic.collect()}
-    clean = {r["f"]: r["n"] for r in _counted(read.where("y = 0"), frozenset(tox)).collect()} if tox else {}
+    clean = {r["f"]: r["n"] for r in _counted(read.where("y = 0"), frozenset(tox) | set(THREATS)).collect()}
     drop_settled(read)
-    return Lexicon(select_stems({f: (t, clean.get(f, 0)) for f, t in tox.items()}, n_tox, n_clean))
+    threats = tuple(w for w in THREATS if clean.get(w, 0) <= 0.0002 * n_clean)
+    return Lexicon(select_stems({f: (t, clean.get(f, 0)) for f, t in tox.items()}, n_tox, n_clean), threats)
 
 
 def select_stems(seen: dict[str, tuple[int, int]], n_tox: int, n_clean: int) -> dict[str, float]:
@@ -220,8 +258,10 @@ def select_stems(seen: dict[str, tuple[int, int]], n_tox: int, n_clean: int) ->
         if f.endswith("*") and core in good and good[f][0] == good[core][0]:
             continue  # a word by itself, not a stem
         t, c = good[f]
-        stems[f] = min(2.0, math.log((t + 0.5) / (n_tox + 1)) / 5 - math.log((c + 0.5) / (n_clean + 1)) / 5 + 0.5)
-    return stems | {w: 1.0 for w in THREATS if w not in stems and seen.get(w, (0, 0))[1] == 0 and seen.get(w, (0, 0))[0] > 0}
+        w = math.log((t + 0.5) / (n_tox + 1)) / 5 - math.log((c + 0.5) / (n_clean + 1)) / 5 + 0.5
+        # one plain hit makes a score of 0.5 (0.693); negated or reported it stays below, even both and addressed
+        stems[f] = min(w, 0.7 + 0.15 * min(1.0, max(0.0, (w - 1.28) / 0.72)))
+    return stems
 
 
 def score_documents(df: DataFrame, lexicon: Lexicon, text: str = "text", score: str = "tox_score", clauses: str | None = None) -> DataFrame:
