@@ -52,6 +52,18 @@ def test_grammar_decides():
         assert not toxic(text), text
 
 
+def test_rare_insult_beside_a_large_vocabulary(spark):
+    """60,000 and more stems that toxic rows hold more often, clean rows too."""
+    rng = np.random.default_rng(6)
+    words = sorted({"".join(map(chr, w)) for w in rng.integers(97, 123, (11_500, 9))})
+    assert len(toxicity.stem_features(" ".join(words))) > 60_000
+    rows = [(i, " ".join(rng.permutation(words)) + (" vile" if i < 10 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id bigint, toxic int")
+    lex = toxicity.learn_lexicon(docs, labels)
+    assert set(lex.stems) == {"vile"} and set(lex.threats) == set(toxicity.THREATS)
+
+
 def test_toxicity_held_out(spark):
     got = QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

@@ -193,22 +193,28 @@ def _sketches(text: str) -> list[int]:
     return out
 
 
-#: At most so many stems of toxic documents, the most frequent, are counted in the others.
-CANDIDATES = 50_000
+#: Stems that are counted at once; beyond, their counts so far are sent off.
+HELD = 1 << 18
 
 
-def _counted(rows: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
-    """(f, n): documents of each stem, or of the known ones; counted a batch at a time before any shuffle."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """(f, t, c): toxic and clean documents of each stem in rows (t, y); counted a batch at a time before any shuffle."""
+
+    def sent(n):
+        f = list(n[1].keys() | n[0].keys())
+        return pa.RecordBatch.from_arrays([pa.array(f, pa.string()), *[pa.array([n[y][x] for x in f], pa.int64()) for y in (1, 0)]], names=["f", "t", "c"])
 
     def parts(batches):
         for b in slices(batches):
-            n: Counter[str] = Counter()
-            for t in b.column(0).to_pylist():
-                f = stem_features(t)
-                n.update(f if known is None else f & known)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["f", "n"])
+            n: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n[y].update(stem_features(t))
+                if len(n[0]) + len(n[1]) > HELD:
+                    yield sent(n)
+                    n = (Counter(), Counter())
+            yield sent(n)
 
-    return rows.select("t").mapInArrow(parts, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    return rows.select("t", "y").mapInArrow(parts, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, seed: int = 0) -> Lexicon:
@@ -218,8 +224,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     chance is no stem. A stem must be in 1 % of the toxic documents (four at
     least) and in at most 2 of 10,000 clean ones; a shorter stem takes the
     place of the longer ones that it begins. The sample's ids are broadcast,
-    so the table's texts are not shuffled; its texts are settled once. At most
-    CANDIDATES stems come to the driver. Labels other than 0 and 1, and null
+    so the table's texts are not shuffled; its texts are settled once. Only stems
+    that meet both rules come to the driver, at most 100 times as many as a
+    toxic document has on average. Labels other than 0 and 1, and null
     ids and texts, are left out; with nothing to learn from, only threats match.
     A threat that more clean documents hold than a stem may have is left out.
     """
@@ -239,12 +246,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     read = settle(texts.join(F.broadcast(once.select("__id", "y")), "__id").select("t", "y"))
     n = {r["y"]: r["n"] for r in read.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_tox, n_clean = n.get(1, 0), n.get(0, 0)
-    toxic = _counted(read.where("y = 1")).where(F.col("n") >= max(4, 0.01 * n_tox)).orderBy(F.desc("n"), "f").limit(CANDIDATES)
-    tox = {r["f"]: r["n"] for r in toxic.collect()}
-    clean = {r["f"]: r["n"] for r in _counted(read.where("y = 0"), frozenset(tox) | set(THREATS)).collect()}
+    good = (F.col("t") >= max(4, 0.01 * n_tox)) & (F.col("c") <= 0.0002 * n_clean)
+    seen = {r["f"]: (r["t"], r["c"]) for r in _counted(read).where(good | F.col("f").isin(THREATS)).collect()}
     drop_settled(read)
-    threats = tuple(w for w in THREATS if clean.get(w, 0) <= 0.0002 * n_clean)
-    return Lexicon(select_stems({f: (t, clean.get(f, 0)) for f, t in tox.items()}, n_tox, n_clean), threats)
+    threats = tuple(w for w in THREATS if seen.get(w, (0, 0))[1] <= 0.0002 * n_clean)
+    return Lexicon(select_stems(seen, n_tox, n_clean), threats)
 
 
 def select_stems(seen: dict[str, tuple[int, int]], n_tox: int, n_clean: int) -> dict[str, float]:
