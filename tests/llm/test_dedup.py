@@ -57,6 +57,19 @@ def test_jaccard(documents, corpus, nothing, shingle, num, den):
     assert jaccard.jaccard_components(nothing).count() == 0
 
 
+def test_jaccard_gives_every_link(spark):
+    """A chain of near copies and copies of its members, in one slice and in several."""
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join([*words[: 200 - 5 * k], *(f"v{k}x{i}" for i in range(5 * k))]) for k in range(6)]
+    rows = [(10 * k + c, near[k]) for k in range(6) for c in range(3)] + [(90, "lone words only here"), (91, None), (92, "")]
+    sets = {d: set(zip(*([(t or "").split()[i:] for i in range(3)]))) for d, t in rows}
+    want = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    for slices in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(slices)
+        assert tuples(jaccard.jaccard_links(df, 3, 90, 100)) == sorted(want)
+    assert {(0, 10), (0, 20), (10, 20), (0, 1)} <= set(want) and (0, 50) not in want
+
+
 def test_jaccard_keys_meet():
     rng = np.random.default_rng(2)
     for num, den in ((9, 10), (8, 10)):

@@ -228,10 +228,43 @@ def spanning_links(a: SignatureTree, b: SignatureTree, num: int, den: int) -> li
     return out
 
 
+def all_links(a: SignatureTree, b: SignatureTree, num: int, den: int) -> list[tuple[int, int]]:
+    """Every linked pair (index in a's sets, in b's)."""
+    out = []
+    for i, j in candidate_pairs(a, b, num, den):
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = a.order[x], b.order[y]
+            if (a is not b or x != y) and linked(a.sets[x], b.sets[y], num, den):
+                out.append((x, y))
+    return out
+
+
 def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, root) of every document that links: the smallest id of its component. Ids are taken as bigint."""
+    links, equal, met, chunks = _links(df, shingle, num, den, id_col, text, spanning_links)
+    found = components(links.unionByName(equal))
+    drop_settled(met)
+    drop_settled(chunks)
+    return found
+
+
+def jaccard_links(df: DataFrame, shingle: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b), a < b: every pair of documents of Jaccard num/den or more, once each. Ids are taken as bigint.
+
+    A pair links if any row of the one id does with any of the other. Every
+    candidate pair is verified, copies too. A row per link by definition.
+    """
+    links, _, met, chunks = _links(df, shingle, num, den, id_col, text, all_links)
+    out = settle(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    drop_settled(met)
+    drop_settled(chunks)
+    return out
+
+
+def _links(df, shingle, num, den, id_col, text, find):
+    """Links (a, b) that ``find`` gives, (copy, lead) of equal sets that one stands for (none for all links), and the settled tables that these read."""
     named = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
-    n = 2 * deal(df, text)
+    n, whole = 2 * deal(df, text), find is all_links
 
     def send_keys(batches):
         parts = Parts(num, den)
@@ -240,7 +273,7 @@ def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str =
             first, keys, owner, same = {}, [], [], []
             for k, s in enumerate(sets):
                 if len(s):
-                    lead = first.setdefault(s.tobytes(), k)
+                    lead = k if whole else first.setdefault(s.tobytes(), k)
                     if lead != k:
                         same.append((ids[k], ids[lead]))
                     else:
@@ -339,16 +372,12 @@ def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str =
             if i == j:
                 if len(left) > 1:
                     t = SignatureTree(read(left))
-                    out += [(left[x][0], left[y][0]) for x, y in spanning_links(t, t, num, den)]
+                    out += [(left[x][0], left[y][0]) for x, y in find(t, t, num, den)]
             elif left and right:
-                out += [(left[x][0], right[y][0]) for x, y in spanning_links(SignatureTree(read(left)), SignatureTree(read(right)), num, den)]
+                out += [(left[x][0], right[y][0]) for x, y in find(SignatureTree(read(left)), SignatureTree(read(right)), num, den)]
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    links = dealt.groupBy("task").applyInArrow(compare, "a long, b long")
-    found = components(links.unionByName(equal))
-    drop_settled(met)
-    drop_settled(chunks)
-    return found
+    return dealt.groupBy("task").applyInArrow(compare, "a long, b long"), equal, met, chunks
 
 
 def jaccard_components(df: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
