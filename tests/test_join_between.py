@@ -1,70 +1,101 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom import Vec, join_between
+from vecloom import Vec, clip, join_between
+from vecloom.functions.clip import lower_bound
 
 
 @pytest.fixture
-def units(spark):
-    return spark.createDataFrame([(0, [0.1, 0.5, 1.2, 1.8, 2.3]), (1, [0.2, 0.9, 1.5, 2.1])], "event_id bigint, event_times array<double>")
+def sensors(spark):
+    return spark.createDataFrame([("north", [2.0, 3.5, 3.5, 8.25, 11.0, 19.0]), ("south", [-4.0, 0.0, 8.0])], "sensor string, ticks array<double>")
 
 
 @pytest.fixture
-def spans(spark):
-    return spark.createDataFrame([(0, 0.0, 1.0), (1, 1.0, 2.0), (2, 2.0, 3.0)], "interval_id bigint, start_time double, stop_time double")
+def shifts(spark):
+    return spark.createDataFrame([("early", 0.0, 8.0), ("late", 8.0, 16.0), ("night", 16.0, 24.0)], "shift string, since double, until double")
 
 
-B = ("start_time", "stop_time")
+B = ("since", "until")
 
 
-def test_cross(units, spans):
-    out = Vec(units).join_between(spans, "event_times", B, as_counts=True)
-    assert out.columns == ["event_id", "event_times", "interval_id", "start_time", "stop_time"]
-    assert [r["event_times"] for r in out.orderBy("event_id", "interval_id").collect()] == [2, 2, 1, 2, 1, 1]
-    rel = join_between(units, spans, "event_times", B, relative=True).where("event_id = 0 and interval_id = 1").first()
-    assert [round(x, 9) for x in rel["event_times"]] == [0.2, 0.8]
+def test_cross(sensors, shifts):
+    out = Vec(sensors).join_between(shifts, "ticks", B, as_counts=True)
+    assert out.columns == ["sensor", "ticks", "shift", "since", "until"]
+    assert [r["ticks"] for r in out.orderBy("sensor", "shift").collect()] == [3, 2, 1, 1, 1, 0]
+    rel = join_between(sensors, shifts, "ticks", B, relative=True).where("sensor = 'north' and shift = 'late'").first()
+    assert rel["ticks"] == [0.25, 3.0]
 
 
-def test_boundaries_and_nulls(spark, units):
-    spans = spark.createDataFrame([(0, 0.1, 0.5), (1, 10.0, 11.0), (2, None, 1.0), (3, 2.0, 1.0)], "interval_id int, start_time double, stop_time double")
-    got = {r["interval_id"]: r["event_times"] for r in join_between(units.where("event_id = 0"), spans, "event_times", B).collect()}
-    assert got == {0: [0.1], 1: [], 2: None, 3: []}
-    odd = spark.createDataFrame([(0, None), (1, []), (2, [0.1, None, 0.2])], "event_id int, event_times array<double>")
-    one = spark.createDataFrame([(0.0, 1.0)], "start_time double, stop_time double")
-    assert [r["event_times"] for r in join_between(odd, one, "event_times", B).orderBy("event_id").collect()] == [None, [], [0.1, 0.2]]
-    assert [r["event_times"] for r in join_between(odd, one, "event_times", B, as_counts=True).orderBy("event_id").collect()] == [None, 0, 2]
+def test_boundaries_and_nulls(spark, sensors):
+    spans = spark.createDataFrame([("at", 2.0, 3.5), ("after", 20.0, 21.0), ("null", None, 1.0), ("turned", 9.0, 3.0)], "shift string, since double, until double")
+    got = {r["shift"]: r["ticks"] for r in join_between(sensors.where("sensor = 'north'"), spans, "ticks", B).collect()}
+    assert got == {"at": [2.0], "after": [], "null": None, "turned": []}
+    odd = spark.createDataFrame([(0, None), (1, []), (2, [0.5, None, 0.75])], "id int, ticks array<double>")
+    one = spark.createDataFrame([(0.0, 1.0)], "since double, until double")
+    assert [r["ticks"] for r in join_between(odd, one, "ticks", B).orderBy("id").collect()] == [None, [], [0.5, 0.75]]
 
 
-def test_sortedness(spark, spans):
-    bad = spark.createDataFrame([(0, [0.9, 0.1])], "event_id int, event_times array<double>")
+def test_unsorted(spark, shifts):
+    bad = spark.createDataFrame([([9.0, 1.0, None, 17.0],)], "ticks array<double>")
     with pytest.raises(Exception, match="sorted"):
-        join_between(bad, spans, "event_times", B).collect()
-    assert join_between(bad, spans, "event_times", B, check_sortedness=False).count() == 3
+        join_between(bad, shifts, "ticks", B).collect()
+    got = join_between(bad, shifts, "ticks", B, check_sortedness=False).orderBy("since").collect()
+    assert [r["ticks"] for r in got] == [[1.0], [9.0], [17.0]]
+
+
+def test_repeated_rows_and_many_chunks(spark):
+    """Every row of the other side meets every list, repeated rows as often as they are there."""
+    lists = spark.createDataFrame([(k, [float(x) for x in range(k, 300 + k)]) for k in range(3)], "k int, v array<double>")
+    spans = spark.createDataFrame([(i % 40, float(i % 40), 2.0 * (i % 40)) for i in range(700)] + [(None, 5.0, 6.0)] * 3, "i int, a double, b double")
+    for as_counts in (True, False):
+        out = join_between(lists, spans, "v", ("a", "b"), as_counts=as_counts).collect()
+        assert len(out) == 3 * 703
+        want = sorted((k, -1 if i is None else i, a, b, sum(a <= x < b for x in range(k, 300 + k))) for k in range(3) for i, a, b in map(tuple, spans.collect()))
+        assert sorted((r["k"], -1 if r["i"] is None else r["i"], r["a"], r["b"], r["v"] if as_counts else len(r["v"])) for r in out) == want
+
+
+def test_search_at_any_length(spark):
+    sizes = [0, 1, 2, 63, 64, 127, 128, 129, 8191, 8192, 8200]
+    df = spark.createDataFrame([(n, [2 * i for i in range(n)]) for n in sizes], "n int, v array<bigint>")
+    bounds = [F.lit(-1), F.lit(0), F.lit(1), F.col("n") - 1, F.col("n"), 2 * F.col("n") - 2, 2 * F.col("n") - 1, 2 * F.col("n"), F.lit(99999)]
+    for r in df.select("n", F.array(*bounds).alias("at"), F.array(*[lower_bound(F.col("v"), b) for b in bounds]).alias("got")).collect():
+        assert r["got"] == [sum(2 * i < b for i in range(r["n"])) for b in r["at"]]
+
+
+def test_clip(spark):
+    nan = float("nan")
+    rows = [([1.0, 2.0, 5.0, 9.0], 2.0, 9.0), ([1.0, 2.0], None, 3.0), (None, 0.0, 1.0), ([], 0.0, 1.0), ([3.0, None, 4.0], 3.0, 4.5), ([4.0, 1.0], 0.0, 2.0), ([1.0, nan], 0.0, nan), ([1.0], 2.0, 0.0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, v array<double>, a double, b double")
+    take = lambda c: [r[0] for r in df.orderBy("k").select(c).collect()]
+    assert take(clip("v", "a", "b")) == [[2.0, 5.0], None, None, [], [3.0, 4.0], [1.0], [1.0], []]
+    assert take(clip("v", "a", F.col("b"), relative=True)) == [[0.0, 3.0], None, None, [], [0.0, 1.0], [1.0], [1.0], []]
+    assert take(clip("v", "a", "b", as_counts=True)) == [2, None, None, 0, 2, 1, 1, 0]
+    assert take(clip("v", 1, 5))[0] == [1.0, 2.0]
 
 
 def test_keyed(spark):
-    u = spark.createDataFrame([("s1", 0, [0.1, 1.2, 2.2]), ("s2", 1, [0.2, 0.8, 1.5]), (None, 2, [0.1])], "s string, event_id int, t array<double>")
-    i = spark.createDataFrame([("s1", 0, 0.0, 1.0), ("s1", 1, 2.0, 3.0), ("s2", 2, 0.0, 1.0), (None, 3, 0.0, 1.0)], "s string, iid int, a double, b double")
-    out = join_between(u, i, "t", ("a", "b"), on="s")
-    assert out.columns == ["s", "event_id", "t", "iid", "a", "b"]
-    assert [r["t"] for r in out.orderBy("iid").collect()] == [[0.1], [2.2], [0.2, 0.8]]
-    out = join_between(u, i.withColumnRenamed("s", "z").withColumn("event_id", F.lit(9)), "t", ("a", "b"), left_on="s", right_on="z")
-    assert out.columns == ["s", "event_id", "t", "iid", "a", "b", "event_id_right"]
-
-
-def test_expressions_literals_and_types(spark, units, spans):
-    shifted = join_between(units, spans, F.transform("event_times", lambda x: x + 1).alias("later"), (F.col("start_time") + 1, 99.0))
-    assert shifted.columns[:3] == ["event_id", "event_times", "later"]
+    u = spark.createDataFrame([("p", 7, [1.0, 4.0, 6.5]), ("q", 8, [2.0, 2.5]), (None, 9, [1.0])], "line string, meter int, t array<double>")
+    i = spark.createDataFrame([("p", 1, 0.0, 2.0), ("p", 2, 4.0, 9.0), ("q", 3, 2.5, 3.0), ("r", 4, 0.0, 9.0), (None, 5, 0.0, 9.0)], "line string, span int, a double, b double")
+    out = join_between(u, i, "t", ("a", "b"), on="line")
+    assert out.columns == ["line", "meter", "t", "span", "a", "b"]
+    assert [r["t"] for r in out.orderBy("span").collect()] == [[1.0], [4.0, 6.5], [2.5]]
+    out = join_between(u, i.withColumnRenamed("line", "track").withColumn("meter", F.lit(0)), "t", ("a", "b"), left_on="line", right_on="track")
+    assert out.columns == ["line", "meter", "t", "span", "a", "b", "meter_right"]
+
+
+def test_expressions_literals_and_types(spark, sensors, shifts):
+    shifted = join_between(sensors, shifts, F.transform("ticks", lambda x: x + 1).alias("later"), (F.col("since") + 1, 99.0))
+    assert shifted.columns[:3] == ["sensor", "ticks", "later"]
     ints = spark.createDataFrame([(0, [1, 3, 7, 12, 20])], "id int, v array<bigint>")
     two = spark.createDataFrame([(0, 5), (10, 15)], "a bigint, b bigint")
     assert sorted(r["v"] for r in join_between(ints, two, "v", ("a", "b"), relative=True).collect()) == [[1, 3], [2]]
 
 
-def test_arguments(units, spans):
+def test_arguments(sensors, shifts):
     for k in ({"on": "a", "left_on": "b", "right_on": "c"}, {"left_on": "a"}, {"left_on": ["a", "b"], "right_on": ["c"]}):
         with pytest.raises(ValueError):
-            join_between(units, spans, "event_times", B, **k)
+            join_between(sensors, shifts, "ticks", B, **k)
     with pytest.raises(TypeError):
-        join_between(units, spans, "event_times", B, on=3)
+        join_between(sensors, shifts, "ticks", B, on=3)
     with pytest.raises(ValueError, match="both sides"):
-        join_between(units, spans.withColumnRenamed("interval_id", "event_id"), "event_times", B)
+        join_between(sensors, shifts.withColumnRenamed("shift", "sensor"), "ticks", B)

@@ -12,7 +12,9 @@ def test_rowwise_and_windowed_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("h").count() == 40
-    q = windowed_vertical(stream, "ts", "10 minutes", "1 minute", {"s": ("a", "sum")}).writeStream.outputMode("update").format("memory").queryName("w").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r["s"] for r in spark.table("w").collect()) == [[45, 10], [145, 10], [245, 10], [345, 10]]
+    for length in (None, 2):
+        out = windowed_vertical(stream, "ts", "10 minutes", "1 minute", {"s": ("a", "sum")}, length=length)
+        q = out.writeStream.outputMode("update").format("memory").queryName(f"w{length}").start()
+        q.processAllAvailable()
+        q.stop()
+        assert sorted(r["s"] for r in spark.table(f"w{length}").collect()) == [[45, 10], [145, 10], [245, 10], [345, 10]]

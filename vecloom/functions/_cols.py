@@ -11,6 +11,11 @@ def as_col(c) -> Column:
     raise TypeError(f"expected a column name or Column, got {type(c).__name__}")
 
 
+def as_bound(b) -> Column:
+    """A Column from a name, a Column or a number."""
+    return as_col(b) if isinstance(b, (str, Column)) else F.lit(b)
+
+
 def many(cols, one):
     """Apply ``one`` to each input: one input gives a Column, several a list of them."""
     flat = [x for c in cols for x in (c if isinstance(c, (list, tuple)) else [c])]

@@ -1,11 +1,13 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vecloom.functions._cols import as_col
+from vecloom.functions._cols import as_bound, as_col, let
+from vecloom.functions.clip import clipped, is_sorted, known_values
 
 
-def _bound(b) -> Column:
-    return as_col(b) if isinstance(b, (str, Column)) else F.lit(b)
+#: Rows of ``other`` that meet a list at once where there are no keys: for counts, and for values, which they copy.
+CHUNK_COUNTS, CHUNK_VALUES = 256, 16
 
 
 def _keys(x, side):
@@ -17,7 +19,7 @@ def _keys(x, side):
 
 def join_between(
     df: DataFrame, other: DataFrame, values, bounds, *, on=None, left_on=None, right_on=None, relative: bool = False,
-    as_counts: bool = False, check_sortedness: bool = True, name: str | None = None, broadcast: bool | None = None, allow_parallel: bool = True, force_parallel: bool = False,
+    as_counts: bool = False, check_sortedness: bool = True, name: str | None = None, allow_parallel: bool = True, force_parallel: bool = False,
 ) -> DataFrame:
     """Each row of ``df`` with each row of ``other`` (or those equal in the keys), its list clipped to [start, stop).
 
@@ -25,15 +27,17 @@ def join_between(
     literal. ``relative`` subtracts start, ``as_counts`` gives the number of
     values. No hit: empty list. Null list or bound: null. Null elements are
     dropped. start above stop: empty list. Unsorted lists raise unless
-    ``check_sortedness`` is off. Null keys match nothing.
+    ``check_sortedness`` is off, where they are filtered. Null keys match nothing.
 
     Bounds are evaluated on ``other`` and the sort check on ``df``, once a row,
-    before the join. Without keys the output has a row per pair by definition;
-    Spark broadcasts a side only if it is below its broadcast threshold, or
-    where ``broadcast=True`` says that ``other`` has a bounded size. Columns: df's but for the values, the
-    values, other's. Clashing names: with keys ``_right`` is added, else an
-    error. ``name`` names an expression's output. The parallel flags are
-    accepted for compatibility; Spark decides.
+    before the join; a pair then costs two binary searches and its hits.
+    Without keys the output has a row per pair by definition: ``other`` is
+    counted first and its rows are packed, some to a row, as each row of the
+    join copies a whole list; Spark broadcasts a side only if it is below its
+    broadcast threshold. Columns: df's but for
+    the values, the values, other's. Clashing names: with keys ``_right`` is
+    added, else an error. ``name`` names an expression's output. The parallel
+    flags are accepted for compatibility; Spark decides.
     """
     if not isinstance(bounds, (list, tuple)) or len(bounds) != 2:
         raise ValueError("bounds must be (start, stop)")
@@ -56,23 +60,31 @@ def join_between(
         raise ValueError(f"columns on both sides: {clash}")
     renamed = {c: f"{c}_right" if c in clash else c for c in right_out}
 
-    v = as_col(values)
-    if check_sortedness:
-        n = F.size(v)
-        ordered = F.forall(F.zip_with(F.slice(v, 1, F.greatest(n - 1, F.lit(0))), F.slice(v, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.coalesce(a <= b, F.lit(True))), lambda x: x)
-        v = F.when(n < 2, v).when(ordered, v).when(v.isNotNull(), F.raise_error(F.lit("values must be sorted in ascending order")).cast(df.select(v).schema[0].dataType))
-    left = df.select(*[F.col(f"`{c}`").alias(f"__l_{i}") for i, c in enumerate(left_out)], v.alias("__v"), *[as_col(k).alias(f"__lk{i}") for i, k in enumerate(lk)])
-    right = other.select(*[F.col(f"`{c}`").alias(f"__r_{i}") for i, c in enumerate(right_out)], _bound(bounds[0]).alias("__a"), _bound(bounds[1]).alias("__b"), *[as_col(k).alias(f"__rk{i}") for i, k in enumerate(rk)])
-    if broadcast:
-        right = F.broadcast(right)
+    def checked(v):
+        ordered = is_sorted(v)
+        if check_sortedness:
+            ordered = ordered | F.raise_error(F.lit("values must be sorted in ascending order")).cast("boolean")
+        return F.struct(v.alias("v"), ordered.alias("s"))
+
+    # inside a lambda, as generated code would put off the check to each pair
+    given = let(known_values(as_col(values)), checked)
+    left = df.select(*[F.col(f"`{c}`").alias(f"__l_{i}") for i, c in enumerate(left_out)], given.alias("__p"), *[as_col(k).alias(f"__lk{i}") for i, k in enumerate(lk)])
+    right = other.select(*[F.col(f"`{c}`").alias(f"__r_{i}") for i, c in enumerate(right_out)], as_bound(bounds[0]).alias("__a"), as_bound(bounds[1]).alias("__b"), *[as_col(k).alias(f"__rk{i}") for i, k in enumerate(rk)])
+    clip = lambda a, b: clipped(F.col("__p.v"), a, b, F.col("__p.s"), relative and not as_counts, as_counts)
+    names = [f"__r_{i}" for i in range(len(right_out))]
     if keyed:
-        joined = left.join(right, [F.col(f"__lk{i}") == F.col(f"__rk{i}") for i in range(len(lk))], "inner")
+        joined = left.join(right, [F.col(f"__lk{i}") == F.col(f"__rk{i}") for i in range(len(lk))], "inner").withColumn("__out", clip(F.col("__a"), F.col("__b")))
+    elif right.isStreaming or not all(isinstance(f.dataType, T.AtomicType) for f in right.schema):
+        joined = left.crossJoin(right).withColumn("__out", clip(F.col("__a"), F.col("__b")))
     else:
-        joined = left.crossJoin(right)
-    a, b = F.col("__a"), F.col("__b")
-    clipped = F.when(a.isNotNull() & b.isNotNull(), F.filter("__v", lambda x: (x >= a) & (x < b)))
-    if as_counts:
-        clipped = F.when(clipped.isNotNull(), F.size(clipped).cast("bigint"))
-    elif relative:
-        clipped = F.transform(clipped, lambda x: x - a)
-    return joined.select(*[F.col(f"__l_{i}").alias(c) for i, c in enumerate(left_out)], clipped.alias(name), *[F.col(f"__r_{i}").alias(renamed[c]) for i, c in enumerate(right_out)])
+        packed = _packed(right, CHUNK_COUNTS if as_counts else CHUNK_VALUES)
+        each = F.transform("__rows", lambda r: F.array_repeat(F.struct(*[r[c].alias(c) for c in names], clip(r["__a"], r["__b"]).alias("__out")), r["__n"]))
+        joined = left.crossJoin(packed).select(*[f"__l_{i}" for i in range(len(left_out))], F.inline(F.flatten(each)))
+    return joined.select(*[F.col(f"__l_{i}").alias(c) for i, c in enumerate(left_out)], F.col("__out").alias(name), *[F.col(f"__r_{i}").alias(renamed[c]) for i, c in enumerate(right_out)])
+
+
+def _packed(right: DataFrame, each: int) -> DataFrame:
+    """About ``each`` different rows to a row (__rows), with how often each is there, so that a list is copied once for all of them."""
+    n = max(1, -(-right.count() // each))
+    once = right.groupBy(*right.columns).agg(F.count(F.lit(1)).cast("int").alias("__n"))
+    return once.groupBy(F.pmod(F.xxhash64(*right.columns), F.lit(n))).agg(F.collect_list(F.struct(*right.columns, "__n")).alias("__rows")).select("__rows")

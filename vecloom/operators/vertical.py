@@ -1,7 +1,8 @@
 """Vertical aggregates for large groups.
 
-``explode``: one row per (group, position), aggregated with map-side combine in
-generated code, then put together again. A group's lists are never gathered.
+``explode``: one row per (group, position) for all columns at once, aggregated
+with map-side combine in generated code, then put together again. A group's
+lists are never gathered.
 ``fixed``: for lists of a known length, one aggregate per position and one
 shuffle. Both skip null rows and check lengths.
 """
@@ -57,27 +58,22 @@ def vertical_agg(df: DataFrame, by, aggs: dict[str, tuple[str, str]], length: in
     if length is not None and 0 < length <= FIXED_MOST:
         return _fixed(df, by, aggs, length)
     keys = [f"__k{i}" for i in range(len(by))]
-    base = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[F.col(c).alias(f"__c{i}") for i, c in enumerate(dict.fromkeys(c for c, _ in aggs.values()))])
-    names = {c: f"__c{i}" for i, c in enumerate(dict.fromkeys(c for c, _ in aggs.values()))}
-    result = None
-    for column, c in names.items():
-        own = {out: op for out, (col, op) in aggs.items() if col == column}
-        kind = element_type(df, column)
-        # outer explode with the length beside it: null and empty lists keep their group
-        pos = base.select(*keys, F.size(c).alias("__n"), F.posexplode_outer(c).alias("__p", "__v"))
-        per = pos.groupBy(*keys, "__p").agg(F.min("__n").alias("__lo"), F.max("__n").alias("__hi"), *[_OPS[op](F.col("__v"), kind).alias(f"__o{i}") for i, op in enumerate(own.values())])
-        item = F.when(F.col("__p").isNotNull(), F.struct("__p", *[f"__o{i}" for i in range(len(own))]))
-        grouped = per.groupBy(*keys).agg(F.min(F.when(F.col("__lo") >= 0, F.col("__lo"))).alias("__lo"), F.max("__hi").alias("__hi"), F.array_sort(F.collect_list(item)).alias("__l"))
-        ok = F.col("__lo").isNotNull() & _same(F.col("__hi"), F.col("__lo"), next(iter(own.values())))
-        part = grouped.select(*keys, *[F.when(ok, F.transform("__l", _field(f"__o{i}"))).alias(out) for i, out in enumerate(own)])
-        if result is None:
-            result = part
-        elif keys:
-            other = part.select(*[F.col(k).alias(f"{k}r") for k in keys], *own)
-            cond = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys]
-            result = result.join(other, cond).drop(*[f"{k}r" for k in keys])
-        else:
-            result = result.crossJoin(part)
+    cols = list(dict.fromkeys(c for c, _ in aggs.values()))
+    base = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    # one outer explode for all columns: null and empty lists keep their group; shorter lists are cut off again below
+    lists = F.arrays_zip(*[F.coalesce(F.col(f"c{i}"), F.array()).alias(f"c{i}") for i in range(len(cols))]) if len(cols) > 1 else F.transform("c0", lambda x: F.struct(x.alias("c0")))
+    sizes = [F.when(F.col(f"c{i}").isNotNull(), F.size(f"c{i}")).alias(f"__n{i}") for i in range(len(cols))]
+    pos = base.select(*keys, *sizes, F.posexplode_outer(lists).alias("__p", "__v"))
+    ends = [f(f"__n{i}").alias(f"__{end}{i}") for i in range(len(cols)) for end, f in (("lo", F.min), ("hi", F.max))]
+    per = pos.groupBy(*keys, "__p").agg(*ends, *[_OPS[op](F.col(f"__v.c{cols.index(c)}"), element_type(df, c)).alias(f"__o{i}") for i, (c, op) in enumerate(aggs.values())])
+    item = F.when(F.col("__p").isNotNull(), F.struct("__p", *[f"__o{i}" for i in range(len(aggs))]))
+    whole = [f(f"__{end}{i}").alias(f"__{end}{i}") for i in range(len(cols)) for end, f in (("lo", F.min), ("hi", F.max))]
+    grouped = per.groupBy(*keys).agg(*whole, F.array_sort(F.collect_list(item)).alias("__l"))
+    out = []
+    for i, (name, (c, op)) in enumerate(aggs.items()):
+        lo, hi = F.col(f"__lo{cols.index(c)}"), F.col(f"__hi{cols.index(c)}")
+        out.append(F.when(lo.isNotNull() & _same(hi, lo, op), F.slice(F.transform("__l", _field(f"__o{i}")), F.lit(1), lo)).alias(name))
+    result = grouped.select(*keys, *out)
     if not by:
         result = result.crossJoin(df.limit(1).select(F.lit(1).alias("__one"))).drop("__one")
     return result.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], *aggs)
@@ -88,19 +84,23 @@ def _field(name):
 
 
 def _fixed(df, by, aggs, length):
-    cols = dict.fromkeys(c for c, _ in aggs.values())
-    out, least, most = [], {}, {}
-    for i, c in enumerate(cols):
-        least[c], most[c] = f"__lo{i}", f"__hi{i}"
-        out += [F.min(F.when(F.col(c).isNotNull(), F.size(c))).alias(least[c]), F.max(F.when(F.col(c).isNotNull(), F.size(c))).alias(most[c])]
-    for name, (c, op) in aggs.items():
-        kind = element_type(df, c)
-        out.append(F.array(*[_OPS[op](F.get(F.col(c), F.lit(i)), kind) for i in range(length)]).alias(f"__a_{name}"))
-    g = (df.groupBy(*by) if by else df.groupBy()).agg(*out, F.count(F.lit(1)).alias("__rows"))
+    parts, pick = fixed_columns(df, aggs, length)
+    g = (df.groupBy(*by) if by else df.groupBy()).agg(*parts, F.count(F.lit(1)).alias("__rows"))
     if not by:
         g = g.where("__rows > 0")
+    return g.select(*by, *pick)
+
+
+def fixed_columns(df: DataFrame, aggs: dict[str, tuple[str, str]], length: int) -> tuple[list[Column], list[Column]]:
+    """Aggregates, one a position, and the columns that put lists together from them."""
+    if not 0 < length <= FIXED_MOST:
+        raise ValueError(f"length must be from 1 to {FIXED_MOST}")
+    cols = list(dict.fromkeys(c for c, _ in aggs.values()))
+    parts = [f(F.when(F.col(c).isNotNull(), F.size(c))).alias(f"__{end}{i}") for i, c in enumerate(cols) for end, f in (("lo", F.min), ("hi", F.max))]
     pick = []
     for name, (c, op) in aggs.items():
-        fits = F.when(F.col(most[c]) <= length, F.lit(True)).otherwise(F.raise_error(F.lit(f"All lists must have the same length for vertical {op}. Expected {length} at most")).cast("boolean"))
-        pick.append(F.when(F.col(least[c]).isNotNull() & _same(F.col(most[c]), F.col(least[c]), op) & fits, F.slice(f"__a_{name}", F.lit(1), F.col(least[c]))).alias(name))
-    return g.select(*by, *pick)
+        kind, lo, hi = element_type(df, c), F.col(f"__lo{cols.index(c)}"), F.col(f"__hi{cols.index(c)}")
+        parts.append(F.array(*[_OPS[op](F.get(F.col(c), F.lit(i)), kind) for i in range(length)]).alias(f"__a_{name}"))
+        fits = F.when(hi <= length, F.lit(True)).otherwise(F.raise_error(F.lit(f"All lists must have the same length for vertical {op}. Expected {length} at most")).cast("boolean"))
+        pick.append(F.when(lo.isNotNull() & _same(hi, lo, op) & fits, F.slice(f"__a_{name}", F.lit(1), lo)).alias(name))
+    return parts, pick

@@ -7,7 +7,7 @@ last bit whatever the order of addition.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.functions import convolve, histogram, vertical
+from vecloom.functions import clip, convolve, histogram, vertical
 from vecloom.operators import diff_rows, join_between, vertical_agg
 from vecloom.plans.psth import psth
 from vecloom.sources import table
@@ -55,11 +55,43 @@ for _name, _op, _sql in (
     ("vec_min", "min", "min(x)"), ("vec_max", "max", "max(x)"), ("vec_count", "count", "count(x)"),
 ):
     QUERIES[_name], ORACLE[_name] = _agg(_op), _agg_sql(_sql)
-for _name, _op in (("vec_std", "std"), ("vec_var", "var"), ("vec_median", "median")):
+for _name, _op in (("vec_std", "std"), ("vec_median", "median")):
     QUERIES[_name] = lambda spark, d, op=_op: _flat(vertical_agg(_scaled(spark, d), "label", {"v": ("v", op)}), "label").withColumn("value", F.round("value", 2))
-    ORACLE[_name] = _agg_sql({"std": "round(stddev_samp(x), 2)", "var": "round(var_samp(x), 2)", "median": "round(median(x), 2)"}[_op])
-ORACLE.pop("vec_var")  # sums of squares round apart in the two engines
-QUERIES.pop("vec_var")
+    ORACLE[_name] = _agg_sql({"std": "round(stddev_samp(x), 2)", "median": "round(median(x), 2)"}[_op])
+
+
+def _plain(spark, d, kind: str):
+    """The vectors as they are, floats or doubles."""
+    return table(spark, d, "embeddings", "label", "embedding").select("label", F.col("embedding").cast(f"array<{kind}>").alias("v"))
+
+
+def _plain_sql(op: str, kind: str) -> str:
+    return f"SELECT label, pos, {op} AS value FROM (SELECT label, (generate_subscripts(embedding, 1) - 1)::int AS pos, unnest(embedding)::{kind} AS x FROM embeddings) GROUP BY label, pos"
+
+
+# sums of squares and of floats differ in their last bits by order: rounded far above those
+@query(_agg_sql("round(var_samp(x) / 1e12, 9)"))
+def vec_var(spark, d):
+    return _flat(vertical_agg(_scaled(spark, d), "label", {"v": ("v", "var")}), "label").withColumn("value", F.round(F.col("value") / 1e12, 9))
+
+
+@query("SELECT label, pos, round(ln(abs(product(x))), 8) AS value FROM (SELECT label, (generate_subscripts(embedding, 1) - 1)::int AS pos, unnest(embedding)::double / 4.0::double + 1.0::double AS x FROM embeddings) GROUP BY label, pos")
+def vec_prod(spark, d):
+    near = _plain(spark, d, "double").withColumn("v", F.transform("v", lambda x: x / 4.0 + 1.0))
+    return _flat(vertical_agg(near, "label", {"v": ("v", "prod")}), "label").withColumn("value", F.round(F.ln(F.abs("value")), 8))
+
+
+for _kind in ("float", "double"):
+    for _op, _sql in (("sum", f"sum(x::double)::{_kind}::double"), ("mean", "sum(x::double) / count(x)"), ("min", "min(x)::double"), ("max", "max(x)::double")):
+        QUERIES[f"vec_{_op}_{_kind}"] = lambda spark, d, op=_op, kind=_kind: _flat(vertical_agg(_plain(spark, d, kind), "label", {"v": ("v", op)}), "label").withColumn("value", F.round(F.col("value").cast("double"), 5))
+        ORACLE[f"vec_{_op}_{_kind}"] = _plain_sql(f"round({_sql}, 5)", _kind)
+
+
+@query("SELECT label, pos, sum(x)::bigint AS total, max(x) AS most, sum(y)::bigint AS shifted FROM (SELECT label, (generate_subscripts(embedding, 1) - 1)::int AS pos, unnest(" + _SQL_SCALED + ") AS x, unnest(" + _SQL_SCALED + ") + 1 AS y FROM embeddings) GROUP BY label, pos")
+def vec_agg_columns(spark, d):
+    two = _scaled(spark, d).withColumn("w", F.transform("v", lambda x: x + 1))
+    out = vertical_agg(two, "label", {"a": ("v", "sum"), "b": ("v", "max"), "c": ("w", "sum")})
+    return out.select("label", F.posexplode(F.arrays_zip("a", "b", "c")).alias("pos", "z")).select("label", "pos", F.col("z.a").alias("total"), F.col("z.b").alias("most"), F.col("z.c").alias("shifted"))
 
 
 @query(_agg_sql("coalesce(sum(x), 0)::bigint"))
@@ -205,6 +237,21 @@ def join_between_keyed(spark, d):
 _PSTH = f"SELECT user_id, pos::int AS pos, avg(len(list_filter({_HITS}, lambda x: least(floor((x - a)::double * (6::double / {float(_HOURS)}::double))::int, 5) = pos))) AS mean_count FROM {_U}, {_I}, range(6) p(pos) GROUP BY user_id, pos"
 
 
+_OWN = "(SELECT user_id, times, times[1] + 100 * {0} AS a, times[1] + 400 * {0} AS b FROM {1})".format(3_600_000_000, _U)
+
+
+@query(f"SELECT user_id, unnest(list_transform({_HITS}, lambda x: x - a)) AS t FROM {_OWN}")
+def vec_clip(spark, d):
+    hour, first = 3_600_000_000, F.get("times", F.lit(0))
+    return _units(spark, d).select("user_id", F.explode(clip("times", first + 100 * hour, first + 400 * hour, relative=True)).alias("t"))
+
+
+@query(f"SELECT user_id, len({_HITS}) AS n FROM {_OWN}")
+def vec_clip_counts(spark, d):
+    hour, first = 3_600_000_000, F.get("times", F.lit(0))
+    return _units(spark, d).select("user_id", clip("times", first + 100 * hour, first + 400 * hour, as_counts=True).alias("n"))
+
+
 @query(_PSTH)
 def psth_by_user(spark, d):
     return psth(_units(spark, d), _days(spark), "user_id", "times", ("a", "b"), 0.0, float(_HOURS), float(_HOURS) / 6)
