@@ -86,14 +86,14 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Program:
-    """What a transport stream holds: the payload, each unit's timestamp, and the first byte of each random-access unit."""
+    """What a transport stream holds: the payload, each unit's timestamp, and (first byte, timestamp) of each random-access unit."""
 
     payload: bytes = b""
     pid: int = -1
     stream_type: int = -1
     packets: int = 0
     timestamps: list[int] = field(default_factory=list)
-    random_access: list[int] = field(default_factory=list)
+    random_access: list[tuple[int, int]] = field(default_factory=list)
 
 
 def _table(packet: bytes, table_id: int) -> bytes:
@@ -113,7 +113,7 @@ def demux(data: bytes) -> Program:
         raise ValueError("not a whole number of packets")
     if data[::PACKET].count(0x47) * PACKET != len(data):
         raise ValueError("a packet without its sync byte")
-    out, pmt_pid, es_pid, last, pieces, units, size = Program(packets=len(data) // PACKET), -1, -1, {}, [], [], 0
+    out, pmt_pid, es_pid, last, pieces, units, size, entry = Program(packets=len(data) // PACKET), -1, -1, {}, [], [], 0, False
 
     def close():
         nonlocal size
@@ -125,6 +125,8 @@ def demux(data: bytes) -> Program:
         if unit[7] & 0x80:
             p = unit[9:14]
             out.timestamps.append(((p[0] & 0x0E) << 29) | (p[1] << 22) | ((p[2] & 0xFE) << 14) | (p[3] << 7) | (p[4] >> 1))
+            if entry:
+                out.random_access.append((size, out.timestamps[-1]))
         units.append(unit[9 + unit[8] :])
         size += len(units[-1])
 
@@ -145,8 +147,7 @@ def demux(data: bytes) -> Program:
                 if pieces:
                     close()
                 pieces = []
-                if flags & 0x20 and data[at + 4] and data[at + 5] & 0x40:
-                    out.random_access.append(size)
+                entry = bool(flags & 0x20 and data[at + 4] and data[at + 5] & 0x40)
             if flags & 0x10:
                 pieces.append(data[body : at + PACKET])
         elif pid == 0 and b1 & 0x40:
@@ -175,7 +176,7 @@ FEATURES = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("
 def features(text: bytes) -> tuple:
     media = mux(payload_of(text))
     p = demux(media)
-    feature = f"mpegts pid={p.pid} type={p.stream_type} packets={p.packets} units={len(p.timestamps)} first={p.timestamps[0]} last={p.timestamps[-1]} random_access={','.join(map(str, p.random_access))}"
+    feature = f"mpegts pid={p.pid} type={p.stream_type} packets={p.packets} units={len(p.timestamps)} first={p.timestamps[0]} last={p.timestamps[-1]} random_access={','.join(f'{at}@{t}' for at, t in p.random_access)}"
     return len(text), len(p.payload), hashlib.sha256(p.payload).hexdigest(), zlib.crc32(p.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
@@ -183,8 +184,12 @@ def media_features(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     """Store each text (null: empty) as a transport stream, read it back and describe it.
 
     Columns: id_col, those of FEATURES, and with ``with_media`` the stream
-    itself. One pass, a document at a time; equal texts give equal values.
-    Empty table: no rows; repeated rows: each on its own.
+    itself; others are not read. ``feature`` has pid, stream type, packets,
+    units, the first and last timestamp, and byte@timestamp of every
+    random-access point. One pass, a document at a time, so that a worker holds
+    a few copies of the longest text; timestamps wrap at 2^33 ticks. Equal texts
+    give equal values. Empty table: no rows; repeated rows: each on its own; any
+    type of id, null too, is passed through.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     out = f"{id_col} {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media
