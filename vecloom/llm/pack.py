@@ -7,6 +7,7 @@ pieces by rank within their length.
 """
 
 import heapq
+import itertools
 import zlib
 
 import numpy as np
@@ -57,17 +58,22 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, tuple[i
     return [(n, lengths) for room in sorted(open_) for n, lengths in open_[room]]
 
 
-def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
-    """Where the pieces of a length go, by rank: (length, first rank, end rank, first sequence, offset)."""
+def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Where the pieces of a length go, by rank: (length, first rank, end rank, first sequence, offset, pieces on end in each sequence).
+
+    Equal lengths on end are one entry, so a pattern has at most 63 for 2,048
+    tokens (63 different lengths add up to 2,016), and each length adds at most
+    two patterns: a few MB at most, whatever the table's size.
+    """
     taken: dict[int, int] = {}
     out, sequence = [], 0
     for n, lengths in patterns:
         at = 0
-        for x in lengths:
-            first = taken.get(x, 0)
-            out.append((x, first, first + n, sequence, at))
-            taken[x] = first + n
-            at += x
+        for x, same in itertools.groupby(lengths):
+            each, first = len(list(same)), taken.get(x, 0)
+            out.append((x, first, first + n * each, sequence, at, each))
+            taken[x] = first + n * each
+            at += x * each
         sequence += n
     return out
 
@@ -93,17 +99,14 @@ def pieces_of(df: DataFrame, json_path: str, ranks_path: str | None, pattern: st
     return df.select(id_col, text).mapInArrow(run, out)
 
 
-#: The slots of a histogram of 2,048 lengths stay far under this; it bounds the broadcast.
-MOST_SLOTS = 200_000
-
-
 def pack_documents(df: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Pack every document's ids (and the end id) into sequences of at most ``size``.
 
     A document is cut every ``size`` ids; full pieces fill a sequence each.
     Returns a row per piece: id_col, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. The pieces are settled once (a few dozen bytes each);
-    texts are read and tokenized in one pass. Null or empty text: one piece of
+    texts are read and tokenized in one pass. Where pieces go is broadcast, which
+    ``slots`` bounds. Columns that clash with these are not read. Null or empty text: one piece of
     one id. Empty table: no rows. Repeated rows are packed each.
     """
     spark = df.sparkSession
@@ -115,7 +118,8 @@ def pack_documents(df: DataFrame, json_path: str, ranks_path: str | None = None,
     h = F.xxhash64(F.col(id_col), "start")
     dealt = pieces.withColumn("__h", h).withColumn("__b", F.pmod("__h", F.lit(buckets)))
     ranked = with_rank(dealt, ["length"], "__b", ["__h", F.col(id_col), "start", "ids_crc32"], "__rank")
-    where = spark.createDataFrame(places or [(0, 0, 0, 0, 0)], "__length long, __lo long, __hi long, __seq long, offset long")
-    where = F.broadcast(where) if len(places) <= MOST_SLOTS else where
+    where = F.broadcast(spark.createDataFrame(places or [(0, 0, 0, 0, 0, 1)], "__length long, __lo long, __hi long, __seq long, __off long, __each long"))
     out = ranked.join(where, (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")))
-    return out.select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("__seq") + F.col("__rank") - F.col("__lo")).alias("sequence_id"), "offset")
+    at = F.col("__rank") - F.col("__lo")
+    sequence, offset = F.col("__seq") + F.expr("(__rank - __lo) div __each"), F.col("__off") + at % F.col("__each") * F.col("length")
+    return out.select(id_col, "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), offset.alias("offset"))
