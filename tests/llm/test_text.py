@@ -163,7 +163,7 @@ def test_transport_stream(size):
     stream = media.mux(payload)
     p = media.demux(stream)
     assert p.payload == payload and len(payload) % 576 == 0 and payload.startswith(raw)
-    assert p.timestamps == [i * media.TICKS for i in range(len(p.timestamps))] and p.random_access[0] == 0
+    assert p.timestamps == [i * media.TICKS for i in range(len(p.timestamps))] and p.random_access == [(k * media.UNIT, k * media.TICKS) for k in range(0, len(p.timestamps), media.RANDOM_ACCESS_EVERY)]
     for k in range(2, min(6, len(stream) // 188)):  # a lost packet, a broken table
         with pytest.raises(ValueError):
             media.demux(stream[: 188 * k] + stream[188 * (k + 1) :] if len(stream) // 188 > k + 1 else stream[:-1])
@@ -171,6 +171,36 @@ def test_transport_stream(size):
         media.demux(stream[:20] + b"\x00" + stream[21:])
 
 
+def test_stream_written_by_hand():
+    """Another writer's stream: table packets in between, padding packets, a second stream, units without timestamps or lengths."""
+
+    def packet(pid, cc, body, start=False, adapt=None):
+        room = 184 - len(body)
+        if adapt is None and room:
+            adapt = b"" if room == 1 else b"\x00" + b"\xff" * (room - 2)
+        head = bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x30 if adapt is not None else 0x10) | cc])
+        out = head + (bytes([len(adapt)]) + adapt if adapt is not None else b"") + body
+        assert len(out) == 188
+        return out
+
+    def table(pid, section, cc):
+        section += media.section_crc(section).to_bytes(4, "big")
+        return packet(pid, cc, b"\x00" + section + b"\xff" * (183 - len(section)), start=True)
+
+    pat = bytes.fromhex("00b00d0007c1000000 01e123".replace(" ", ""))
+    pmt = bytes.fromhex("02b0170001c10000e0f1f0001be0f1f0000fe0f2f000")
+    unit = b"\x00\x00\x01\xe0\x00\x00\x80\x00\x00" + b"a" * 175
+    timed = b"\x00\x00\x01\xe0\x00\x00\x80\x80\x05" + bytes([0x21, 0, 3, 0, 5]) + b"b" * 100
+    rap = b"\x40" + b"\xff" * (183 - len(timed) - 1)
+    null = bytes([0x47, 0x1F, 0xFF, 0x10]) + b"\xff" * 184
+    stream = [table(0, pat, 4), null, table(0x123, pmt, 9), packet(0xF1, 15, unit, True), packet(0xF2, 0, b"x" * 184), packet(0xF1, 0, b"A" * 184), table(0, pat, 5), null, packet(0xF1, 1, timed, True, rap), packet(0xF1, 2, b"B" * 30)]
+    p = media.demux(b"".join(stream))
+    assert p.payload == b"a" * 175 + b"A" * 184 + b"b" * 100 + b"B" * 30
+    assert (p.pid, p.stream_type, p.timestamps, p.random_access) == (0xF1, 0x1B, [(1 << 15) + 2], [(359, (1 << 15) + 2)])
+    with pytest.raises(ValueError, match="continuity"):
+        media.demux(b"".join(stream[:5] + stream[6:]))
+
+
 def test_media_features(documents, corpus, nothing):
     got = {r["doc_id"]: r for r in media.media_features(documents, with_media=True).collect()}
     for d, t in corpus:

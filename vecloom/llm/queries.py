@@ -41,7 +41,7 @@ def op4_quality(spark, sf_dir):
 @query
 def op5_shards(spark, sf_dir):
     out = shard.interleaved_shards(_documents(spark, sf_dir, "doc_id", "text", "source"), 16)
-    return out.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
 _CRC_TABLE = "(SELECT list(list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) FROM range(256) r(i))"
@@ -57,7 +57,7 @@ WITH base AS (
 ), ranked AS (
   SELECT *, (row_number() OVER (PARTITION BY key ORDER BY h, text_crc32, size) - 0.5::double) / count(*) OVER (PARTITION BY key) AS frac, count(*) OVER () AS n FROM crc
 ), placed AS (SELECT *, row_number() OVER (ORDER BY frac, key) - 1 AS g FROM ranked)
-SELECT doc_id, source, size::bigint AS size, text_crc32, 'rows' AS law, (g * 16 // n)::int AS shard, (g - (g * 16 // n * n + 15) // 16)::bigint AS slot, NULL::int AS grown_shard FROM placed
+SELECT doc_id, size::bigint AS size, text_crc32, 'rows' AS law, (g * 16 // n)::int AS shard, (g - (g * 16 // n * n + 15) // 16)::bigint AS slot, NULL::int AS grown_shard, source FROM placed
 """
 
 
