@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed random words, so hashes agree between workers and runs.
 _RNG = np.random.default_rng(20240601)
@@ -20,9 +21,15 @@ def inverse(base: np.uint64) -> np.uint64:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is named (tests), one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a session in one process (master local) gets a folder of
+    its own; on a cluster that is an error, as executors would not see it.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="vecloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -39,31 +46,42 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def drop_settled(df: DataFrame) -> None:
-    """Delete a settled table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(df._vecloom_path)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a settled table that nothing reads any more; where the session has no JVM at hand, it stays."""
+    spark, path = df.sparkSession, getattr(df, "_vecloom_path", None)
+    if path and getattr(spark, "_jvm", None):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def input_bytes(df: DataFrame, text: str = "text") -> int:
     """A table's size: the optimizer's estimate from its files, or half its text where it has none to go by (joins, rows of a driver)."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    size = int(str(plan.stats().sizeInBytes()))
-    if plan.collectLeaves().length() == 1 and size < 1 << 60:
-        return size
+    if getattr(df, "_jdf", None) is not None:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        size = int(str(plan.stats().sizeInBytes()))
+        if plan.collectLeaves().length() == 1 and size < 1 << 60:
+            return size
     return (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
 
 
 def deal(df: DataFrame, text: str = "text") -> int:
     """How many groups to deal a table into: 4 MB of files each at half a GB, up to 16 MB as it grows.
 
-    Messages between groups grow with the square of their number, so groups
-    grow with the root of the input. Never under the shuffle partitions; twice
-    as many would make four times the messages on tables that are small.
+    Messages between groups grow with the square of their number, until there
+    is one for each key, so groups grow with the root of the input. Never under
+    the shuffle partitions; twice as many would make four times the messages on
+    tables that are small.
     """
     size = input_bytes(df, text)
     each = min(16 << 20, max(4 << 20, int((4 << 20) * (size / 5e8) ** 0.5)))
-    return int(min(max(size // each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 20))
+    return int(max(size // each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def whole_numbers(df: DataFrame, id_col: str) -> str:
+    """The type of an id column, which must be of whole numbers: their order and their least are part of results."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} must be a column of whole numbers, got {kind.simpleString()}")
+    return kind.simpleString()
 
 
 def with_rank(df: DataFrame, keys: list[str], bucket: str, order: list, rank: str, total: str | None = None) -> DataFrame:
