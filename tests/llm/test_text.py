@@ -2,8 +2,10 @@ import itertools
 import math
 import zlib
 
+import brute
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from oracle import same
 
@@ -99,6 +101,49 @@ def test_expectation_maximisation_finds_accuracies():
     assert ((p > 0.5) == truth).mean() > 0.95 and abs(prior - 0.8) < 0.05
 
 
+def test_expectation_maximisation_as_by_hand():
+    """Two rounds over a few rows, one number at a time."""
+    v = np.array([[1, 1, 0], [1, -1, 1], [-1, -1, 0], [0, 1, 1], [-1, 0, -1]])
+    p = [0.1 if -1 in r else 0.9 for r in v.tolist()]
+    for _ in range(2):
+        like = {}
+        for j in range(3):
+            for k in (0, 1):
+                n = {x: sum((p[i] if k else 1 - p[i]) for i in range(5) if v[i][j] == x) + (1.0 if (x == 1) == (k == 1) else 0.04) for x in (-1, 1)}
+                like[j, k] = {x: n[x] / sum(n.values()) for x in n}
+        prior = min(max(sum(p) / 5, 0.02), 0.98)
+        new = []
+        for i in range(5):
+            good, bad = prior, 1 - prior
+            for j in range(3):
+                if v[i][j]:
+                    good, bad = good * like[j, 1][v[i][j]], bad * like[j, 0][v[i][j]]
+            new.append(good / (good + bad))
+        p = new
+    got, table, _ = quality.expectation_maximisation(v, rounds=2)
+    assert np.allclose(got, p) and np.allclose(table[1, 0], [like[1, 0][-1], like[1, 0][1]])
+
+
+def test_quality_scores_by_hand(spark, documents, corpus):
+    """The whole text's words count, each by its share, and the numbers' buckets."""
+    model = quality.fit(documents)
+    assert np.abs(model.words).max() > 0 and np.abs(model.weights).max() > 0
+    for r in quality.score_quality(documents, model, score="score").collect():
+        t = r["text"] or ""
+        buckets = [quality.word_buckets(pa.array([w]))[0][0] for w in brute.WORD.findall(t)]
+        z = model.bias + sum(model.weights[quality.hashed(quality.stats(t))]) + sum(model.words[b] for b in buckets) / max(1, len(buckets))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_words_tell_what_numbers_cannot():
+    """Rows of equal numbers whose posteriors differ by a word."""
+    u = [np.array([5, 7 + k % 2], np.uint16) for k in range(400)]
+    c = [np.full(2, 0.5, np.float32)] * 400
+    w, held, bias = quality.train(np.zeros((400, 3), np.int64), u, c, np.array([0.95, 0.05] * 200), 0, 6)
+    z = [bias + w[[0, 0, 0]].sum() + held[x].mean() for x in u[:2]]
+    assert z[0] > 0.5 and z[1] < -0.5
+
+
 def test_shards(documents, corpus, nothing):
     rows = shard.interleaved_shards(documents, 4).collect()
     assert len(rows) == len(corpus)
@@ -246,7 +291,6 @@ def test_pieces(spark, documents, corpus, nothing):
 
 
 def test_pipeline(spark):
-    import brute
     import corpus_pipeline as cp
 
     d = "/root/testdata/sf0.001"

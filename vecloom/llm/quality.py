@@ -3,7 +3,9 @@
 Overlapping heuristic labellers vote good, bad or nothing on a document.
 Expectation-maximisation over their votes on a bounded sample estimates how
 accurate each labeller is and each row's chance to be good, with no labelled
-data. Those posterior labels train a linear scorer over hashed features.
+data. Those posterior labels train a linear scorer over hashed features: the
+text's words, each by its share of them, and buckets of the numbers that the
+labellers see.
 """
 
 import math
@@ -17,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import slices
+from vecloom.llm.common import flat_bytes, slices, words_of
 
-STATS = ("words", "mean_len", "distinct", "repeat", "symbols", "upper", "pipes", "digits", "bangs", "ended", "lines", "top", "spaces", "odd")
+STATS = ("words", "mean_len", "distinct", "repeat", "symbols", "upper", "pipes", "digits", "bangs", "ended", "lines", "top", "spaces", "odd", "plain", "pairs")
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[*b"#$%&*+/<=>@[\\]^_`{|}~"]] = True
 _BITS = 13
+#: Buckets that words are hashed into.
+_WORDS = 1 << 16
 
 
 def stats(text: str | None) -> tuple[float, ...]:
@@ -38,6 +42,7 @@ def stats(text: str | None) -> tuple[float, ...]:
         len(words), sum(map(len, words)) / w, len(held) / w, sum(map(operator.eq, words, words[1:])) / w, int(c[_SYMBOLS].sum()) / n,
         upper / max(1, upper + lower), int(c[124]) / w, int(c[48:58].sum()) / n, int(c[33]) / w, sum(x.rstrip()[-1] in ".!?…\"'»”)" for x in lines) / max(1, len(lines)), len(lines) / w,
         max(held.values(), default=0) / w, int(c[32] + c[10]) / n, int(c[:9].sum() + c[14:32].sum() + c[127]) / n,
+        sum(k for x, k in held.items() if x.isalpha() or x[:-1].isalpha()) / w, len(set(zip(words, words[1:]))) / max(1, len(words) - 1),
     )
 
 
@@ -59,7 +64,8 @@ def votes(s: tuple[float, ...]) -> list[int]:
     out = [f(x[k]) if long or k in ("symbols", "pipes", "odd", "mean_len") else 0 for k, f in _BY.items()]
     out.append((-1 if x["distinct"] < 0.03 else 1 if x["distinct"] > 0.25 else 0) if long else 0)
     out.append((1 if x["ended"] > 0.6 else 0) if long else 0)
-    out.append(-1 if x["symbols"] + x["upper"] * 0.2 + x["repeat"] + x["pipes"] > 0.2 else 1 if x["symbols"] + x["repeat"] + x["pipes"] < 0.05 else 0)
+    out.append((-1 if x["plain"] < 0.6 else 1 if x["plain"] > 0.8 else 0) if long else 0)
+    out.append((-1 if x["pairs"] < 0.3 else 1 if x["pairs"] > 0.6 else 0) if long else 0)
     return out
 
 
@@ -96,24 +102,39 @@ def hashed(s: tuple[float, ...]) -> list[int]:
     return [xxhash.xxh32_intdigest(x) & ((1 << _BITS) - 1) for x in names]
 
 
+def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every word ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, and each text's first word (n+1)."""
+    h, _, _, first = words_of(*flat_bytes(texts), lower=True)
+    return (h >> np.uint64(48)).astype(np.int64), first
+
+
 @dataclass
 class QualityModel:
     weights: np.ndarray
+    words: np.ndarray
     bias: float
     accuracy: list[float]  # of each labeller where it votes
     prior: float
 
-    def score(self, text: str | None) -> float:
-        z = self.bias + float(self.weights[hashed(stats(text))].sum())
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """Each whole text's chance to be good; null is empty."""
+        bucket, first = word_buckets(texts)
+        n = np.diff(first)
+        # added up in order of place, so that equal texts score alike in any batch
+        z = np.bincount(np.repeat(np.arange(len(n)), n), self.words[bucket], len(n)) / np.maximum(1, n) + self.bias
+        z += [float(self.weights[hashed(stats(t))].sum()) for t in texts.to_pylist()]
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = 20_000, seed: int = 0, epochs: int = 6) -> QualityModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = 20_000, words: int = 512, seed: int = 0, epochs: int = 6) -> QualityModel:
     """Fit labellers and scorer on at most ``sample`` rows, chosen by a hash of the id; only their numbers come to the driver.
 
-    Rows are thinned by hash to about four times the sample before the
-    smallest are taken, so no task gathers the table. An empty table gives a
-    model that finds every row good.
+    Of a row's words at most ``words`` buckets, the same ones for every row,
+    train the scorer; scores take all words. Rows are thinned by hash to about
+    four times the sample before the smallest are taken, so no task gathers the
+    table. Rows that tie in the hash (equal ids) are taken by their numbers.
+    Null texts count as empty. An empty table gives a model that finds every
+    row good.
     """
     n = docs.count()
     h = F.xxhash64(F.col(id_col), F.lit(seed))
@@ -124,39 +145,66 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int
     def rows(batches):
         for b in slices(batches):
             s = [stats(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(x) for x in s], pa.list_(pa.float64()))], names=["h", "s"])
-
-    got = thin.mapInArrow(rows, "h long, s array<double>").orderBy("h", "s").limit(sample).collect()
+            bucket, first = word_buckets(b.column(1))
+            shares = []
+            for x, y in zip(first.tolist(), first[1:].tolist()):
+                u, c = np.unique(bucket[x:y], return_counts=True)
+                take = np.sort(np.argsort(u * 40503 % _WORDS, kind="stable")[:words])
+                shares.append((u[take].astype(np.uint16).tobytes(), (c[take] / max(1, y - x)).astype(np.float32).tobytes()))
+            cols = [pa.array([list(x) for x in s], pa.list_(pa.float64())), *(pa.array([x[k] for x in shares], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["h", "s", "u", "c"])
+
+    got = thin.mapInArrow(rows, "h long, s array<double>, u binary, c binary").orderBy("h", "s", "u", "c").limit(sample).collect()
     if not got:
-        return QualityModel(np.zeros(1 << _BITS), 5.0, [], 1.0)
+        return QualityModel(np.zeros(1 << _BITS), np.zeros(_WORDS), 5.0, [], 1.0)
     s = [tuple(r["s"]) for r in got]
     v = np.array([votes(x) for x in s])
-    p, like, prior = expectation_maximisation(v)
+    p, _, prior = expectation_maximisation(v)
     spoke = (v != 0).mean(0)
     right = (1 - p) @ (v == -1) / len(v) + p @ (v == 1) / len(v)
     x = np.array([hashed(a) for a in s])
-    w, bias, g2, b2, order = np.zeros(1 << _BITS), 0.0, np.full(1 << _BITS, 1e-3), 1e-3, np.random.default_rng(seed)
+    u, c = ([np.frombuffer(r[k], t) for r in got] for k, t in (("u", np.uint16), ("c", np.float32)))
+    w, held, bias = train(x, u, c, p, seed, epochs)
+    return QualityModel(w, held, bias, (right / np.maximum(spoke, 1e-9)).tolist(), prior)
+
+
+def train(x: np.ndarray, u: list[np.ndarray], c: list[np.ndarray], p: np.ndarray, seed: int, epochs: int, batch: int = 64) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of number buckets and of word buckets, and the bias: logistic loss against the posteriors p, steps by past gradients."""
+    w, held, bias = np.zeros(1 << _BITS), np.zeros(_WORDS), 0.0
+    past_w, past_h, past_b, order = np.full(len(w), 1e-3), np.full(len(held), 1e-3), 1e-3, np.random.default_rng(seed)
     for _ in range(epochs):
         turn = order.permutation(len(x))
-        for at in range(0, len(x), 64):
-            i = turn[at : at + 64]
-            z = bias + w[x[i]].sum(1)
-            err = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - p[i]
-            g = np.bincount(x[i].ravel(), np.repeat(err, x.shape[1]), minlength=1 << _BITS) / len(i) + 1e-5 * w
-            g2 += g * g
-            w -= 0.2 * g / np.sqrt(g2)
-            b2 += err.mean() ** 2
-            bias -= 0.2 * err.mean() / math.sqrt(b2)
-    return QualityModel(w, bias, (right / np.maximum(spoke, 1e-9)).tolist(), prior)
+        for at in range(0, len(x), batch):
+            i = turn[at : at + batch]
+            word = np.concatenate([u[k] for k in i])
+            share, row = np.concatenate([c[k] for k in i]).astype(np.float64), np.repeat(np.arange(len(i)), [len(u[k]) for k in i])
+            z = bias + w[x[i]].sum(1) + np.bincount(row, held[word] * share, len(i))
+            err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - p[i]) / len(i)
+            # only what the rows hold moves
+            a, pos = np.unique(x[i].ravel(), return_inverse=True)
+            g = np.bincount(pos, np.repeat(err, x.shape[1]), len(a)) + 1e-5 * w[a]
+            past_w[a] += g * g
+            w[a] -= 0.2 * g / np.sqrt(past_w[a])
+            a, pos = np.unique(word, return_inverse=True)
+            g = np.bincount(pos, err[row] * share, len(a)) + 1e-5 * held[a]
+            past_h[a] += g * g
+            held[a] -= 0.2 * g / np.sqrt(past_h[a])
+            past_b += err.sum() ** 2
+            bias -= 0.2 * err.sum() / math.sqrt(past_b)
+    return w, held, bias
 
 
 def score_quality(df: DataFrame, model: QualityModel, text: str = "text", score: str = "quality_score") -> DataFrame:
-    """All columns of ``df`` and the chance that the whole text is good. A column of that name is replaced; null text counts as empty."""
+    """All columns of ``df`` and the chance that the whole text is good.
+
+    A column of that name is replaced; null text counts as empty; repeated rows
+    score alike; very long texts are read whole. Empty table: no rows.
+    """
     df = df.drop(score)
     names, at = df.columns, df.columns.index(text)
 
     def run(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([model.score(t.as_py()) for t in b.column(at)], pa.float64())], names=[*names, score])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(at)), pa.float64())], names=[*names, score])
 
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{score}` double")
