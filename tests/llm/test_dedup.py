@@ -28,9 +28,51 @@ def test_cells_miss_no_pair():
     rng = np.random.default_rng(1)
     u = neardup.unit_rows(np.concatenate([rng.normal(size=(300, 6)), rng.normal(size=(1, 6)) + rng.normal(size=(100, 6)) * 0.2]))
     c = neardup.spherical_kmeans(u, 12)
-    home, near = neardup.cells_of(u, c, 0.95)
+    home, row, cell = neardup.cells_of(u, c, 0.95)
+    inside = set(zip(row.tolist(), cell.tolist()))
+    assert len(inside) == len(row) and all((k, home[k]) in inside for k in range(len(u)))
     for i, j in zip(*np.nonzero(u @ u.T >= 0.95)):
-        assert near[j, home[i]]
+        assert (j, home[i]) in inside
+
+
+def test_recall_of_the_nearest_cells():
+    """Against brute force: 2,000 planted partners at the threshold among random vectors, a twentieth of all pairs compared."""
+    rng = np.random.default_rng(2)
+    u = neardup.unit_rows(rng.normal(size=(20_000, 64)))
+    w = rng.normal(size=(2000, 64))
+    w -= (w * u[:2000]).sum(1, keepdims=True) * u[:2000]
+    u = np.concatenate([u, 0.951 * u[:2000] + (1 - 0.951**2) ** 0.5 * neardup.unit_rows(w)])
+    k = int(len(u) ** 0.5) // 2 + 1
+    home, row, cell = neardup.cells_of(u, neardup.spherical_kmeans(u[rng.permutation(len(u))[: 32 * k]], k), 0.95, neardup.VISITS)
+    inside = set(zip(row.tolist(), cell.tolist()))
+    found = [(20_000 + i, home[i]) in inside for i in range(2000)] + [(i, home[20_000 + i]) in inside for i in range(2000)]
+    assert np.mean(found) >= 0.99
+    assert np.bincount(home, minlength=k) @ np.bincount(cell, minlength=k) < 0.12 * len(u) ** 2
+
+
+def test_many_cells_in_little_memory():
+    import resource
+
+    rng = np.random.default_rng(3)
+    c, u = neardup.unit_rows(rng.normal(size=(4096, 64))), neardup.unit_rows(rng.normal(size=(2048, 64)))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for visits in (neardup.VISITS, None):
+        assert len(neardup.cells_of(u, c, 0.95, visits)[0]) == 2048
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # in KB
+
+
+def test_near_duplicates_all_cells_and_blocks(spark, monkeypatch):
+    """Every link where all cells within reach are visited, several blocks to a cell, ids that repeat."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(150, 5)), rng.normal(size=(1, 5)) + rng.normal(size=(60, 5)) * 0.15])
+    rows = [(int(i), [float(x) for x in y]) for i, y in enumerate(v)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), visits=None)
+    assert tuples(got) == brute.near(rows, 0.95)
+    twice = neardup.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 0.0])], "vec_id int, embedding array<double>"))
+    assert sorted(map(tuple, twice.collect()), key=str) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, None)]
+    with pytest.raises(TypeError, match="whole numbers"):
+        neardup.near_duplicates(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
 
 
 def test_suffixes(documents, corpus, nothing):
