@@ -67,12 +67,30 @@ def test_rare_insult_beside_a_large_vocabulary(spark):
 
 
 def test_toxicity_held_out(spark):
-    got = QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.1")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    rows = got.where("held_out").join(labels, "doc_id").collect()
-    right = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
-    clean = [r for r in rows if r["toxic"] == 0]
-    assert right >= 0.96 and sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+    """Held-out accuracy, and what each machine decides there."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    lex = toxicity.learn_lexicon(docs, labels.where(~held_out("doc_id")))
+    rows = [(r["text"], r["toxic"]) for r in docs.join(labels.where(held_out("doc_id")), "doc_id").collect()]
+    found = [toxicity.score_text(t, lex) for t, _ in rows]
+    marked = [s >= 0.5 for s, *_ in found]
+    clean = [m for m, (_, y) in zip(marked, rows, strict=True) if y == 0]
+    assert sum(m == y for m, (_, y) in zip(marked, rows, strict=True)) >= 0.96 * len(rows) and sum(clean) <= 0.02 * len(clean)
+
+    without = lambda m: toxicity.Product(*[x for x in toxicity.GRAMMAR.machines if x is not m])
+    hits = [(c, next(iter(h))) for (t, _), (_, _, spans) in zip(rows, found, strict=True) for x, y, w in spans if len(h := lex.hits((c := t[x:y]).lower())) == 1 and 0.69 < w < 0.86]
+    assert len(hits) > 100
+    toxic = lambda texts, **k: sum(toxicity.score_text(t, lex, **k)[0] >= 0.5 for t in texts) / len(texts)
+    assert toxic([c for c, _ in hits]) == 1
+    for machine, plant in ((toxicity.NEGATION, "not a "), (toxicity.REPORT, "the note said ")):
+        planted = [c[:at] + plant + c[at:] for c, at in hits if "said" not in c]
+        assert toxic(planted) <= 0.05 and toxic(planted, grammar=without(machine)) >= 0.95
+    moved = [toxicity.score_text(t, lex, without(toxicity.ADDRESS))[0] != s for (t, y), (s, *_) in zip(rows, found, strict=True) if y == 1]
+    assert sum(moved) >= 0.05 * len(moved)
+    at_once = toxicity.Machine(0, {(k, "threat"): "aimed" for k in (0, "aimed")} | {("aimed", "*"): 0}, {})
+    for aimed, whom in ((0, "the lamp"), (1, "you")):
+        planted = [f"{c[:at]} kill {whom} {c[at:].partition(' ')[2]}" for c, at in hits if not set(c.lower().split()) & set(toxicity._CLASS)]
+        assert len(planted) > 20 and abs(toxic(planted) - aimed) <= 0.1 and toxic(planted, aim_machine=at_once) >= 0.9
 
 
 def test_toxicity_edges(spark, documents, nothing):

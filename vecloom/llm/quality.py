@@ -126,7 +126,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = 20_000, words: int = 512, seed: int = 0, epochs: int = 6) -> QualityModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = 20_000, words: int = 128, seed: int = 0, epochs: int = 6) -> QualityModel:
     """Fit labellers and scorer on at most ``sample`` rows, chosen by a hash of the id; only their numbers come to the driver.
 
     Of a row's words at most ``words`` buckets, the same ones for every row,

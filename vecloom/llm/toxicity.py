@@ -131,7 +131,7 @@ class Lexicon:
         return found
 
 
-def score_text(text: str | None, lexicon: Lexicon, grammar: Product = GRAMMAR) -> tuple[float, int, list[tuple[int, int, float]]]:
+def score_text(text: str | None, lexicon: Lexicon, grammar: Product = GRAMMAR, aim_machine: Machine = AIM) -> tuple[float, int, list[tuple[int, int, float]]]:
     """Score in [0, 1), matched clauses, and their (start, end, weight) in the text."""
     if not text:
         return 0.0, 0, []
@@ -149,7 +149,7 @@ def score_text(text: str | None, lexicon: Lexicon, grammar: Product = GRAMMAR) -
         a = max(low.rfind(c, begin, at) for c in _CLAUSE_END) + 1 or begin
         end = _END.search(low, at)
         b = max(end.start() if end else len(low), at + 1)
-        state, aim, weight, owed = grammar.start, AIM.start, 0.0, 0.0
+        state, aim, weight, owed = grammar.start, aim_machine.start, 0.0, 0.0
         for m in _WORD.finditer(low, a, b):
             if m.start() in hits:
                 w, threat = hits[m.start()]
@@ -160,7 +160,7 @@ def score_text(text: str | None, lexicon: Lexicon, grammar: Product = GRAMMAR) -
                     owed = max(0.0, AIMED * grammar.weight(state, "threat") - insult)
             else:
                 symbol = _CLASS.get(m.group(), "word")
-            state, aim = grammar.step(state, symbol), AIM.step(aim, symbol)
+            state, aim = grammar.step(state, symbol), aim_machine.step(aim, symbol)
             if aim == "aimed":
                 weight, owed = weight + owed, 0.0
         done = b
@@ -227,7 +227,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     so the table's texts are not shuffled; its texts are settled once. Only stems
     that meet both rules come to the driver, at most 100 times as many as a
     toxic document has on average. Labels other than 0 and 1, and null
-    ids and texts, are left out; with nothing to learn from, only threats match.
+    ids and texts, are left out; rows of one id are documents of their own, and
+    ties in the hash are taken by id and label. With nothing to learn from, only
+    threats match.
     A threat that more clean documents hold than a stem may have is left out.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("__id", F.lit(seed)), "__id", "y").limit(sample)
@@ -273,8 +275,8 @@ def select_stems(seen: dict[str, tuple[int, int]], n_tox: int, n_clean: int) ->
 def score_documents(df: DataFrame, lexicon: Lexicon, text: str = "text", score: str = "tox_score", clauses: str | None = None) -> DataFrame:
     """All columns of ``df`` and the score of each whole text; with ``clauses``, also the matched clauses.
 
-    Null or empty text: 0. Very long texts are matched whole. Clashing columns
-    are replaced.
+    Null or empty text: 0. Very long texts are matched whole; equal texts score
+    alike. Clashing columns are replaced. Empty table: no rows.
     """
     df = df.drop(score, *([clauses] if clauses else []))
     names = df.columns
