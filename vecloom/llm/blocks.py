@@ -20,9 +20,9 @@ _SCHEMA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.
 
 
 def blocked(df: DataFrame, id_col: str, text: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(block, id, text, extra) with about 4 MB of input a block, and the number of blocks."""
+    """(block, id, text, extra) with about 4 MB of input a block, and the number of blocks; rows of one id and different texts are spread."""
     n = deal(df, text)
-    h = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int")
+    h = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(n)).cast("int")
     return df.select(h.alias("block"), F.col(id_col).alias("id"), F.col(text).alias("text"), *extra), n
 
 
@@ -103,6 +103,17 @@ def answer(docs: DataFrame, replies: DataFrame, f, schema: str = MESSAGE) -> Dat
     return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
 
+def answer_buckets(sent: DataFrame, held: DataFrame, f, schema: str = MESSAGE) -> DataFrame:
+    """f(messages to a bucket, what the bucket holds)."""
+
+    def run(table: pa.Table, own: pa.Table) -> pa.Table:
+        out = f(table, own)
+        release()
+        return out
+
+    return sent.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(run, schema)
+
+
 def concat(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
