@@ -308,24 +308,6 @@ def test_pieces(spark, documents, corpus, nothing):
     assert pieces.encode_documents(nothing, path).count() == 0
 
 
-def test_pipeline(spark):
-    import corpus_pipeline as cp
-
-    d = "/root/testdata/sf0.001"
-    docs, seen = spark.read.parquet(f"{d}/documents.parquet"), {}
-    for name, stage in cp.STAGES[:-1]:
-        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
-        docs = cp.settle(stage(spark, docs, d))
-        assert docs.columns == cp.COLUMNS
-        seen[name] = before, sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    before, after = seen["near_copies"]
-    assert [x for x, _ in after] == [x for x, _, root in brute.jaccard(before, 5, 8, 10) if x == root]
-    before, after = seen["repeats"]
-    assert after == [(x, kept) for x, *_, kept in brute.substrings(before)]
-    out = cp.run(spark, d)
-    assert out.select("doc_id").distinct().count() == len(after)
-
-
 def test_held_out(spark):
     rows = spark.range(50).select("id", held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
