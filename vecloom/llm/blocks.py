@@ -56,33 +56,31 @@ def arrays(table: pa.Table, column: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype=dtype) if x.is_valid and x.as_buffer().size % size == 0 else np.zeros(0, dtype) for x in table.column(column)]
 
 
-def repeated_keys(table: pa.Table, dtypes: dict | None = None) -> pa.Table:
-    """A bucket's answer to key messages (a: keys, b: seen twice in the block): per block the keys that are anywhere else or twice."""
+def repeated_keys(table: pa.Table, dtypes: dict, hot: int) -> pa.Table:
+    """A bucket's answer to key messages (a: keys, b: how often in the block): per block the keys that are anywhere else or twice.
+
+    a: those keys; b: whether the block is the smallest that holds the key; c: whether it is there more than ``hot`` times.
+    """
     blocks, kinds = table.column("block").to_pylist(), table.column("kind").to_pylist()
-    twice, rows = arrays(table, "b", np.bool_), []
+    times, rows = arrays(table, "b", np.uint32), []
     for kind in sorted(set(kinds)):
-        keys = arrays(table, "a", (dtypes or {}).get(kind, np.uint64))
+        keys = arrays(table, "a", dtypes.get(kind, np.uint64))
         mine = [k for k, x in enumerate(kinds) if x == kind]
-        flat, many = np.concatenate([keys[k] for k in mine]), np.concatenate([twice[k] for k in mine])
-        u, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
-        alive = (n > 1) | (np.bincount(inverse, many, len(u)) > 0)
-        # the smallest block with a key leads it
+        flat, n = np.concatenate([keys[k] for k in mine]), np.concatenate([times[k] for k in mine]).astype(np.int64)
+        u, inverse = np.unique(flat, return_inverse=True)
+        n = np.bincount(inverse, n, len(u))
         owner = np.repeat(np.array([blocks[k] for k in mine]), [len(keys[k]) for k in mine])
         leader = np.full(len(u), 1 << 30)
         np.minimum.at(leader, inverse, owner)
-        ok, leads, at = alive[inverse], leader[inverse] == owner, 0
+        ok, leads, crowded, at = n[inverse] > 1, leader[inverse] == owner, n[inverse] > hot, 0
         for k in mine:
             stretch = slice(at, at + len(keys[k]))
             at += len(keys[k])
             if ok[stretch].any():
-                rows.append((blocks[k], table.column("bucket")[0].as_py(), kind, keys[k][ok[stretch]], leads[stretch][ok[stretch]], None))
+                rows.append((blocks[k], table.column("bucket")[0].as_py(), kind, keys[k][ok[stretch]], leads[stretch][ok[stretch]], crowded[stretch][ok[stretch]]))
     return messages(rows)
 
 
-def repeated_hashes(table: pa.Table) -> pa.Table:
-    return repeated_keys(table)
-
-
 def group_messages(df: DataFrame, key: str, f, schema: str = MESSAGE) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         out = f(table)
