@@ -298,6 +298,22 @@ def test_nbest_against_all_ways(text):
     assert all(m.decode(i) == text and math.isclose(s, next(x for x, y in _all_ways(m, m.normalise(text)) if y == i)) for s, i in got)
 
 
+def test_nbest_of_random_texts():
+    """Against all ways to cut, over letters, spaces, line ends and letters that the vocabulary lacks."""
+    m, rng = pieces.model(P.path("piece_bpe_32k.model")), np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("aeinorst  the\nzé☃"), int(rng.integers(1, 12)))) for _ in range(60)]
+    for t, got in zip(texts, pieces.encode_nbest(m, texts, 4, {}), strict=True):
+        want = _all_ways(m, m.normalise(t))[:4]
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in want]), t
+        assert all(m.decode(i) == t for _, i in got)
+
+
+def test_merge_order_counts_as_rank():
+    m = pieces.model(P.path("piece_bpe_32k.model"))
+    cut = lambda t: [m.piece_bytes[i].decode() for i in pieces.encode_nbest(m, [t], 1, {})[0][0][1]]
+    assert cut("market opened") == [" market", " opened"]
+
+
 def test_pieces(spark, documents, corpus, nothing):
     path = P.path("piece_bpe_32k.model")
     got = pieces.encode_documents(documents, path, with_ids=True)

@@ -8,6 +8,13 @@ the lattice falls into segments: their forward and backward scores are computed
 for many segments at once, and the search runs where alternatives are near.
 
 Ties: the longer last piece first, then the earlier place in the text.
+
+A unigram vocabulary's scores are log probabilities and are taken as they are.
+A merge vocabulary's are whole numbers, the order of its merges; a sum of those
+means nothing, so a piece's order is taken as its rank in Zipf's law and scores
+minus its logarithm. What is found is the best sum of such scores; a merge
+vocabulary's own encoder joins letters greedily by order and often cuts
+elsewhere.
 """
 
 import gc
@@ -53,7 +60,10 @@ class PieceModel:
                 self.pieces[p] = i
                 scores[i] = m.get_score(i)
                 self.piece_bytes.append(p.encode().replace(SPACE.encode(), b" "))
-        self.unknown = float(min(scores[list(self.pieces.values())])) - UNKNOWN_PENALTY
+        given = list(self.pieces.values())
+        if (scores[given] == np.round(scores[given])).all():
+            scores[given] = -np.log(2 + scores[given].max() - scores[given])
+        self.unknown = float(min(scores[given])) - UNKNOWN_PENALTY
         scores[n] = -math.inf
         self.scores, self.none = scores, n
         self.longest = max(map(len, self.pieces))
@@ -266,6 +276,8 @@ def encode_documents(df: DataFrame, path: str, n: int = 3, id_col: str = "doc_id
     decoded_ok; with ``with_ids`` also ids. Null or empty text: no pieces, one
     segmentation of score 0. Texts are taken whole, about ``batch_bytes`` at a
     time. A text that itself holds the mark of space decodes to a space there.
+    Equal texts give equal rows, repeated rows each their own; other columns are
+    not read. Empty table: no rows.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_pieces long, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, decoded_ok boolean" + ", ids array<int>" * with_ids
@@ -298,7 +310,7 @@ def encode_documents(df: DataFrame, path: str, n: int = 3, id_col: str = "doc_id
 
 
 def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids: str = "ids", text: str = "text") -> DataFrame:
-    """The texts of lists of ids (null: null)."""
+    """The texts of lists of ids (null: null; empty: empty). An id that the vocabulary lacks is an error. Empty table: no rows."""
 
     def run(batches):
         m = model(path)
