@@ -67,46 +67,79 @@ def _lists(counts: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(off, pa.array(counts.ravel()))
 
 
-def _row_ids(off):
-    return np.repeat(np.arange(len(off) - 1), np.diff(off))
+#: Values that are counted at a time, so that what is held beside them stays in the processor's cache.
+_AT_ONCE = 1 << 15
+
+
+def _stretches(off):
+    """(first row, end row) of stretches of about _AT_ONCE values."""
+    at, rows = 0, len(off) - 1
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + _AT_ONCE, side="right")) - 1)
+        yield at, min(to, rows)
+        at = to
+
+
+def _add(counts, idx, n):
+    """Counts of each row's indexes, rows x values, in n bins; idx is used up."""
+    np.minimum(idx, n - 1, out=idx)
+    idx += (np.arange(len(idx)) * n)[:, None]
+    counts += np.bincount(idx.ravel(), minlength=counts.size).reshape(counts.shape)
+
+
+def _counted(arr: pa.Array, n: int, bounds) -> pa.Array:
+    """Per row the counts of the values from lo to hi in n bins; ``bounds(least, largest)`` gives lo and hi, or None where they don't depend on rows."""
+    rows = len(arr)
+    null = np.asarray(arr.is_null()) if rows else np.zeros(0, bool)
+    off, v = _span(arr)
+    counts = np.zeros((rows, n), np.int64)
+    for a, b in _stretches(off):
+        x, own = v[off[a] : off[b]], np.diff(off[a : b + 1])
+        whole = len(x) and (own == own[0]).all()
+        if whole:  # rows of one length, mostly without gaps
+            x = x.reshape(b - a, -1)
+            least, most = x.min(1), x.max(1)
+            lo, hi = bounds(least, most)
+            if np.isfinite(least).all() and np.isfinite(most).all() and (lo <= least).all() and (most <= hi).all():
+                t = x - lo[:, None]
+                t *= (n / (hi - lo))[:, None]
+                _add(counts[a:b], t.astype(np.int64), n)
+                continue
+            x = x.ravel()
+        ok = np.isfinite(x)
+        full, begin = np.flatnonzero(own > 0), (off[a:b] - off[a])[own > 0]
+        least, most = np.full(b - a, np.inf), np.full(b - a, -np.inf)
+        if len(full):
+            least[full], most[full] = np.minimum.reduceat(np.where(ok, x, np.inf), begin), np.maximum.reduceat(np.where(ok, x, -np.inf), begin)
+        lo, hi = bounds(least, most)
+        row = np.repeat(np.arange(b - a), own)
+        with np.errstate(invalid="ignore"):
+            ok &= (x >= lo[row]) & (x <= hi[row])
+            x, row = x[ok], row[ok]
+            idx = np.minimum(((x - lo[row]) * (n / (hi - lo))[row]).astype(np.int64), n - 1)
+        counts[a:b] += np.bincount(row * n + idx, minlength=(b - a) * n).reshape(b - a, n)
+    return _lists(counts, null)
 
 
 def _arrow_bins(n: int):
+    def spread(least, most):
+        flat = least == most
+        return np.where(flat, least - 0.5, least), np.where(flat, most + 0.5, most)
+
     @F.arrow_udf("array<bigint>")
     def count(arr: pa.Array) -> pa.Array:
-        rows = len(arr)
-        null = np.asarray(arr.is_null()) if rows else np.zeros(0, bool)
-        off, v = _span(arr)
-        ok = np.isfinite(v)
-        rid = _row_ids(off)
-        lo, hi = np.full(rows, np.inf), np.full(rows, -np.inf)
-        full = np.flatnonzero(np.diff(off) > 0)
-        if len(full):
-            lo[full] = np.minimum.reduceat(np.where(ok, v, np.inf), off[full])
-            hi[full] = np.maximum.reduceat(np.where(ok, v, -np.inf), off[full])
-        flat = lo == hi
-        lo, hi = np.where(flat, lo - 0.5, lo), np.where(flat, hi + 0.5, hi)
-        with np.errstate(all="ignore"):
-            inv = n / (hi - lo)
-            if not ok.all():
-                v, rid = v[ok], rid[ok]
-            idx = np.minimum(((v - lo[rid]) * inv[rid]).astype(np.int64), n - 1)
-        return _lists(np.bincount(rid * n + idx, minlength=rows * n).reshape(rows, n), null)
+        return _counted(arr, n, spread)
 
     return count
 
 
 def _arrow_range(start: float, stop: float, n: int):
+    def fixed(least, most):
+        return np.full(len(least), start), np.full(len(least), stop)
+
     @F.arrow_udf("array<bigint>")
     def count(arr: pa.Array) -> pa.Array:
-        rows = len(arr)
-        null = np.asarray(arr.is_null()) if rows else np.zeros(0, bool)
-        off, v = _span(arr)
-        with np.errstate(invalid="ignore"):
-            ok = (v >= start) & (v <= stop)
-        rid, v = _row_ids(off)[ok], v[ok]
-        idx = np.minimum(((v - start) * (n / (stop - start))).astype(np.int64), n - 1)
-        return _lists(np.bincount(rid * n + idx, minlength=rows * n).reshape(rows, n), null)
+        return _counted(arr, n, fixed)
 
     return count
 

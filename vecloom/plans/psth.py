@@ -13,6 +13,7 @@ def psth(units: DataFrame, trials: DataFrame, unit: str, values: str, bounds, st
     """Mean count by unit and bin: columns unit, pos, mean_count."""
     n = math.ceil((stop - start) / spacing)
     clipped = join_between(units, trials, values, bounds, relative=True)
-    counts = clipped.select(unit, histogram(values, start=start, stop=stop, spacing=spacing).alias("__h"))
-    means = counts.groupBy(unit).agg(*[F.avg(F.get("__h", F.lit(i))).alias(f"__m{i}") for i in range(n)])
-    return means.select(unit, F.posexplode(F.array(*[f"__m{i}" for i in range(n)])).alias("pos", "mean_count"))
+    counts = histogram(values, start=start, stop=stop, spacing=spacing)
+    # a row per bin, combined before the shuffle, whatever the number of bins
+    bins = clipped.select(unit, F.posexplode(F.coalesce(counts, F.array_repeat(F.lit(None).cast("bigint"), n))).alias("pos", "n"))
+    return bins.groupBy(unit, "pos").agg(F.avg("n").alias("mean_count"))
