@@ -192,6 +192,37 @@ def test_pack_histogram():
         assert placed == counts
 
 
+def _one_by_one(lengths, size):
+    """Shortest-pack-first without a histogram: the longest piece next, into the pack with most room."""
+    packs = []
+    for x in sorted(lengths, reverse=True):
+        k = max(range(len(packs)), key=lambda k: size - sum(packs[k]), default=None)
+        if k is not None and size - sum(packs[k]) >= x:
+            packs[k].append(x)
+        else:
+            packs.append([x])
+    return packs
+
+
+def test_packs_against_one_by_one():
+    rng = np.random.default_rng(8)
+    for size, n, top in ((64, 300, 64), (64, 300, 12), (100, 200, 40), (2048, 250, 900), (16, 1, 16)):
+        lengths = rng.integers(1, top + 1, n).tolist()
+        patterns = pack.pack_histogram({x: lengths.count(x) for x in set(lengths)}, size)
+        assert sorted(x for k, p in patterns for x in p * k) == sorted(lengths) and all(sum(p) <= size for _, p in patterns)
+        n_packs = sum(k for k, _ in patterns)
+        assert -(-sum(lengths) // size) <= n_packs <= len(_one_by_one(lengths, size))
+        at = {}
+        for x, first, end, sequence, offset, each in pack.slots(patterns):
+            for r in range(end - first):
+                at.setdefault(sequence + r // each, []).append((offset + r % each * x, x))
+        assert sorted(at) == list(range(n_packs))
+        for held in at.values():
+            held.sort()
+            assert [o for o, _ in held] == [sum(x for _, x in held[:k]) for k in range(len(held))]
+        assert len(pack.slots(patterns)) <= 63 * (2 * len(set(lengths)) + 1)
+
+
 def test_packing(documents, corpus, nothing):
     from tokenizers import Tokenizer
 
