@@ -88,6 +88,34 @@ def test_suffixes_of_repeated_rows_and_kept_bytes(spark):
     assert suffix.deduplicate(df).where("doc_id is null").first()["n_removed"] == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3, 4096])
+def test_suffixes_of_crowded_sides(spark, hot):
+    """A line with many different surroundings, a line of one letter, near copies: whether dealt as contexts or one by one."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    line, long = word(230), word(900)
+    rows = [(k, word(int(rng.integers(0, 260))) + line + word(int(rng.integers(0, 260)))) for k in range(25)]
+    rows += [(30 + k, long[:450] + word(3) + long[450:]) for k in range(6)] + [(40, "z" * 700), (41, "z" * 199), (42, line), (42, None), (43, line)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
+    assert tuples(suffix.deduplicate(df, hot=hot)) == brute.suffixes(rows)
+
+
+def test_memory_of_a_crowded_side():
+    """200,000 surroundings of one line: the strings of a block are hashed a stretch at a time, contexts are at most HOT."""
+    import resource
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    line = bytes(rng.integers(97, 123, 220, dtype=np.uint8))
+    own = rng.integers(97, 123, (200_000, 60), dtype=np.uint8)
+    t = suffix._Texts(pa.table({"text": pa.array([(x[:30].tobytes() + line + x[30:].tobytes()).decode() for x in own])}))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found, _, times = suffix.unique_pairs(t.strings((280 * np.arange(20_000)[:, None] + np.arange(81)).ravel()))
+    assert (times == 20_000).sum() == 21 and times.sum() == 81 * 20_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600 << 10  # in KB
+
+
 def test_difference_cover():
     seen = {(a - b) % suffix.PERIOD for a in suffix.COVER for b in suffix.COVER}
     assert seen == set(range(suffix.PERIOD))
@@ -137,6 +165,22 @@ def test_large_group_of_near_copies(spark):
     assert got.where("doc_id >= 5000 and component_id = doc_id").count() == 50
 
 
+@pytest.mark.parametrize("chunk", [3, 40])
+def test_groups_of_many_chunks(spark, chunk):
+    """Groups whose sets link in chains, in islands and not at all, equal sets in several slices, ids of several texts."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join([*words[: 100 - k], *(f"v{i}" for i in range(k))])) for k in range(0, 90, 3)]  # a chain
+    rows += [(200 + k, " ".join([*words[:50], *(f"own{k}x{i}" for i in range(3))])) for k in range(20)] + [(300 + k, " ".join(words)) for k in range(30)]
+    rows += [(400 + k, " ".join([*words[:60], *(f"far{k // 4}x{i}" for i in range(40))])) for k in range(24)]  # islands
+    rows += [(500, " ".join(words)), (500, " ".join(f"q{i}" for i in range(30))), (501, " ".join(f"q{i}" for i in range(30))), (502, " ".join(f"q{i}" for i in range(29)))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7), 3, 8, 10, chunk=chunk)
+    texts = dict(rows[:-4]) | {500: rows[-4][1], 1500: rows[-3][1], 501: rows[-2][1], 502: rows[-1][1]}
+    sets = {d: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for d, t in texts.items()}
+    pairs = [(a % 1000, b % 1000) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])] + [(500, 500)]
+    want = brute.roots(sorted({d for d, _ in rows}), pairs)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
 def test_substrings(documents, corpus, nothing):
     assert tuples(substring.deduplicate(documents)) == [x[:4] for x in brute.substrings(corpus)]
     kept = {r["doc_id"]: (r["kept"], r["source"]) for r in substring.deduplicate(documents, kept="kept", carry=("source",)).collect()}
@@ -144,41 +188,70 @@ def test_substrings(documents, corpus, nothing):
     assert substring.deduplicate(nothing).count() == 0
 
 
-def test_substrings_against_history(spark, corpus):
-    old = spark.createDataFrame(corpus[:25], "doc_id bigint, text string")
-    new = spark.createDataFrame(corpus[25:], "doc_id bigint, text string")
-    from vecloom.llm.blocks import blocked
-
-    runs = substring.index_of(old, buckets=blocked(new, "doc_id", "text")[1])
-    got = {r[0]: tuple(r) for r in substring.deduplicate(new, history=runs).collect()}
-    want = {x[0]: x[:4] for x in brute.substrings(corpus)}
-    assert got == {d: want[d] for d, _ in corpus[25:]}
+def test_substrings_edges(spark):
+    """Repeated ids and rows, null ids, batches of any number: one result."""
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(5, text[0]), (5, text[0]), (5, None), (None, text[1]), (None, text[2] + " " + text[1]), (7, text[1]), (9, text[3]), (11, text[3] + " x " + text[2])]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = [sorted(map(tuple, substring.deduplicate(df, batches=b).collect()), key=str) for b in (1, 3)]
+    assert got[0] == got[1]
+    gone = sorted((str(r[0]), r[1] - r[2]) for r in got[0])
+    assert [k for i, k in gone if i == "5"] == [0, 0, 40] and [dict(gone)[i] for i in ("7", "9", "11")] == [0, 40, 1]
+    assert sum(k for i, k in gone if i == "None") == 80
+    for f in (substring.deduplicate, suffix.deduplicate, jaccard.jaccard_components):
+        with pytest.raises(TypeError, match="whole numbers"):
+            f(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 @pytest.mark.parametrize("merged", [False, True])
-def test_substrings_against_history_of_other_block_counts(spark, corpus, merged):
-    """Two earlier tables and the new one, dealt into three different numbers of blocks."""
-    from vecloom.llm.blocks import blocked
-
+def test_substrings_against_history(spark, corpus, merged):
+    """Three earlier tables of unequal sizes and the new one, in batches: one pass over all."""
     frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
-    new = frame(corpus[30:])
-    assert blocked(new, "doc_id", "text")[1] not in (3, 13)
-    runs = substring.index_of(frame(corpus[:15]), buckets=3).unionByName(substring.index_of(frame(corpus[15:30]), buckets=13))
-    runs = substring.compact(runs) if merged else runs
-    got = {r[0]: tuple(r) for r in substring.deduplicate(new, history=runs).collect()}
+    tables = [frame(corpus[:5]), frame(corpus[5:24]), frame(corpus[24:30])]
+    runs = tables[0].sparkSession.createDataFrame([], substring.RUN)
+    for t in tables:
+        runs = runs.unionByName(substring.index_of(t, buckets=5))
+    runs = substring.settle(substring.compact(runs) if merged else runs)
+    assert {r["level"] for r in runs.collect()} <= ({0, 1} if merged else {0})
     want = {x[0]: x[:4] for x in brute.substrings(corpus)}
+    got = {r[0]: tuple(r) for r in substring.deduplicate(frame(corpus[30:]), history=runs, batches=2).collect()}
     assert got == {d: want[d] for d, _ in corpus[30:]}
     assert sum(r[2] for r in got.values()) > sum(x[2] for x in brute.substrings(corpus[30:]))
-    a, b = (sorted(np.concatenate([np.frombuffer(r["a"], substring._FINGER) for r in substring.compact(x, 7).collect()]).tolist()) for x in (runs, substring.index_of(frame(corpus[:30]))))
-    assert a == b
-
-
-def test_run_index_compacts():
-    index, rng = substring.RunIndex(), np.random.default_rng(0)
-    keys = rng.permutation(np.arange(1, 2001, dtype=np.uint64))
-    for at in range(0, 2000, 100):
-        k = np.sort(keys[at : at + 100])
-        assert not index.probe(k, k.astype(np.uint32)).any()
-        index.add(k, k.astype(np.uint32))
-        assert index.probe(k, k.astype(np.uint32)).all() and not index.probe(k, k.astype(np.uint32) + np.uint32(1)).any()
-    assert len(index.runs) < 8
+
+
+def test_runs_of_other_settings_are_an_error(spark, corpus):
+    new = spark.createDataFrame(corpus[30:], "doc_id bigint, text string")
+    a, b = (substring.index_of(new, buckets=n) for n in (3, 13))
+    with pytest.raises(ValueError, match="buckets"):
+        substring.deduplicate(new, history=a.unionByName(b))
+    with pytest.raises(ValueError, match="window"):
+        substring.deduplicate(new, window=21, history=a)
+
+
+def test_merge_join_and_runs():
+    rng = np.random.default_rng(0)
+    pick = lambda n: substring.merged([np.array(list(zip(rng.integers(0, 40, n), rng.integers(0, 3, n))), substring._FINGER)])
+    for _ in range(200):
+        run, batch = pick(int(rng.integers(0, 30))), pick(int(rng.integers(0, 30)))
+        assert substring.merge_join(run, batch).tolist() == [x in run.tolist() for x in batch.tolist()]
+    flat = np.array(list(zip(rng.integers(0, 60, 300), rng.integers(0, 2, 300))), substring._FINGER)
+    runs, seen, want = [pick(20), pick(9)], set(), []
+    for r in runs:
+        seen |= set(r.tolist())
+    for x in flat.tolist():
+        want.append(x in seen)
+        seen.add(x)
+    got, new = substring.seen_before(flat, runs)
+    assert got.tolist() == want
+    assert substring.merged([*runs, new]).tolist() == sorted(seen)
+
+
+def test_index_compacts_levels(spark):
+    """Runs of one level become one of the next: the number of runs grows with the logarithm of the batches."""
+    index = substring.Index(spark, 20, 2)
+    for k in range(9):
+        flat = np.array([(k, 1), (100 + k, 1)], substring._FINGER)
+        index.add(substring.settle(spark.createDataFrame([(b, bytearray(flat[b : b + 1].tobytes())) for b in (0, 1)], "bucket int, a binary")))
+    assert [level for level, _ in index.levels] == [2]
+    rows = {r["bucket"]: np.frombuffer(bytes(r["a"]), substring._FINGER)["k"].tolist() for r in index.runs().collect()}
+    assert rows == {0: list(range(9)), 1: list(range(100, 109))}

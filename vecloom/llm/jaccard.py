@@ -13,10 +13,15 @@ A linked pair shares half of that number in parts that few documents hold,
 where pairs are counted, or half in parts that many hold, and then both
 documents have that many such parts: passages that many documents share make
 no candidates, and only a few of those documents are sent to the part's bucket from
-each slice of the table. Candidates form groups, compared in pairs of chunks, so a group
-of any size is spread over tasks.
+each slice of the table. Of equal sets, found by a 128-bit hash, one stands for
+all. Candidates form groups, dealt into chunks. A group of more than two chunks
+is first compared as a star, each chunk with the first one, which costs a row or
+two a document; only the sets that this doesn't join to the first chunk's own
+largest component are then compared with all the others, so near copies of one
+text cost no square of their number.
 """
 
+import hashlib
 import math
 
 import numpy as np
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import components, deal, drop_settled, flat_bytes, grams, mix, settle, slices, with_whole, words_of
+from vecloom.llm.common import components, deal, drop_settled, flat_bytes, grams, local_roots, mix, settle, slices, whole_numbers, with_whole, words_of
 
 BITS = 2048
 FAN = 8
@@ -239,45 +244,48 @@ def all_links(a: SignatureTree, b: SignatureTree, num: int, den: int) -> list[tu
     return out
 
 
-def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, root) of every document that links: the smallest id of its component. Ids are taken as bigint."""
-    links, equal, met, chunks = _links(df, shingle, num, den, id_col, text, spanning_links)
+def jaccard_roots(df: DataFrame, shingle: int, num: int, den: int, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """(node, root) of every document that links: the smallest id of its component. Ids must be whole numbers."""
+    links, equal, settled = _links(df, shingle, num, den, id_col, text, chunk)
     found = components(links.unionByName(equal))
-    drop_settled(met)
-    drop_settled(chunks)
+    for x in settled:
+        drop_settled(x)
     return found
 
 
-def jaccard_links(df: DataFrame, shingle: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b), a < b: every pair of documents of Jaccard num/den or more, once each. Ids are taken as bigint.
+def jaccard_links(df: DataFrame, shingle: int, num: int, den: int, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """(a, b), a < b: every pair of documents of Jaccard num/den or more, once each. Ids must be whole numbers.
 
     A pair links if any row of the one id does with any of the other. Every
     candidate pair is verified, copies too. A row per link by definition.
     """
-    links, _, met, chunks = _links(df, shingle, num, den, id_col, text, all_links)
+    links, _, settled = _links(df, shingle, num, den, id_col, text, chunk, whole=True)
     out = settle(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    drop_settled(met)
-    drop_settled(chunks)
+    for x in settled:
+        drop_settled(x)
     return out
 
 
-def _links(df, shingle, num, den, id_col, text, find):
-    """Links (a, b) that ``find`` gives, (copy, lead) of equal sets that one stands for (none for all links), and the settled tables that these read."""
+def _links(df, shingle, num, den, id_col, text, chunk, whole=False):
+    """Links (a, b) enough to connect what links connect (``whole``: all), (copy, lead) of equal sets that one stands for (not if whole), and the settled tables that these read."""
+    whole_numbers(df, id_col)
     named = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null")
-    n, whole = 2 * deal(df, text), find is all_links
+    n, find = 2 * deal(df, text), all_links if whole else spanning_links
 
     def send_keys(batches):
         parts = Parts(num, den)
         for b in slices(batches):
             ids, sets = np.asarray(b.column(0)), shingle_sets(b.column(1), shingle)
-            first, keys, owner, same = {}, [], [], []
+            first, keys, owner, same, digests = {}, [], [], [], []
             for k, s in enumerate(sets):
                 if len(s):
-                    lead = k if whole else first.setdefault(s.tobytes(), k)
+                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    lead = k if whole else first.setdefault(digest, k)
                     if lead != k:
                         same.append((ids[k], ids[lead]))
                     else:
                         x = parts.keys(s)
+                        digests.append((digest, ids[k]))
                         keys.append(x)
                         owner.append(np.full(len(x), ids[k]))
             if not keys:
@@ -300,19 +308,37 @@ def _links(df, shingle, num, den, id_col, text, find):
             rows = [(int(bucket[x]), keys[x:y].tobytes(), *_packed_ids(owner[x:y])) for x, y in zip(cut, cut[1:])] + spread
             if same:
                 rows.append((int(bucket[0]), None, np.array(same, np.int64).tobytes(), None))
+            if not whole:
+                held = np.zeros(len(digests), _SET)
+                raw = np.frombuffer(b"".join(d for d, _ in digests), np.uint64).reshape(-1, 2)
+                held["x"], held["y"], held["id"] = raw[:, 0], raw[:, 1], [d for _, d in digests]
+                to = (held["x"] % np.uint64(n)).astype(np.int64)
+                held, to = held[np.argsort(to, kind="stable")], np.sort(to)
+                cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+                rows += [(int(to[x]), held[x:y].tobytes(), None, None) for x, y in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "ids", "at"])
 
     def meet(table):
         keys, ids, at = (table.column(c) for c in ("keys", "ids", "at"))
-        k, o, same = [], [], []
+        k, o, same, held = [], [], [], [np.zeros(0, _SET)]
         for x in range(len(table)):
+            if not ids[x].is_valid:
+                held.append(np.frombuffer(keys[x].as_buffer(), _SET))
+                continue
             i = np.frombuffer(ids[x].as_buffer(), np.int64)
             if keys[x].is_valid:
                 k.append(np.frombuffer(keys[x].as_buffer(), np.uint64))
                 o.append(i[np.frombuffer(at[x].as_buffer(), np.uint32)])
             else:
                 same.append(i.reshape(-1, 2))
-        rows = [(1, *np.concatenate(same).T, 0, 1)] if same else []
+        # equal sets: the smallest id leads
+        held = np.concatenate(held)
+        held = held[np.lexsort((held["id"], held["y"], held["x"]))]
+        new = np.ones(len(held), bool)
+        new[1:] = (held["x"][1:] != held["x"][:-1]) | (held["y"][1:] != held["y"][:-1])
+        lead = held["id"][np.flatnonzero(new)][np.cumsum(new) - 1] if len(held) else held["id"]
+        same.append(np.stack([held["id"], lead], 1)[held["id"] != lead])
+        rows = [(1, *np.concatenate(same).T, 0, 1)]
         if k:
             k, o = np.concatenate(k), np.concatenate(o)
             order = np.lexsort((o, k))
@@ -340,56 +366,96 @@ def _links(df, shingle, num, den, id_col, text, find):
     parts = Parts(num, den)
     half = F.create_map(*[F.lit(x) for c in range(_PREFIX) for x in (c, parts.half(c) if _class_small(c) else 1 << 40)], *[F.lit(x) for c in range(_PREFIX, 2 * _PREFIX) for x in (c, 1)])
     equal = met.where("kind = 1").select("a", "b")
+    # a copy's links are its lead's; an id of several rows may have other texts too
+    copies = equal.select(F.col("a").alias("gone")).distinct().join(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.col("gone") == F.col("id"), "left_anti")
+    copies = copies if whole else settle(copies.select("gone"))
+    alone = lambda df, c: df.join(copies, df[c] == copies["gone"], "left_anti")
     rare = met.where("kind = 0").groupBy("a", "b", "cls").agg(F.sum("n").alias("n")).where(F.col("n") >= half[F.col("cls").cast("int")]).select("a", "b")
     common = met.where("kind = 2").select(F.col("a").alias("key"), "b", "cls")
     rich = common.groupBy("b", "cls").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= half[F.col("cls").cast("int")]).select("b", "cls")
+    if not whole:
+        rare, rich = alone(alone(rare, "a"), "b"), alone(rich, "b")
     members = common.join(rich, ["b", "cls"])
     groups = components(rare.unionByName(with_whole(members, "key", "b", F.min("b"), F.min, "a").select("a", "b")))
     sized = with_whole(groups, "root", "node", F.count(F.lit(1)), F.sum, "n")
-    chunks = sized.select(F.col("node").alias("id"), "root", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    chunks = sized.select(F.col("node").alias("id"), "root", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     chunks = settle(chunks.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
-    # one row for each pair of chunks that a document's chunk is in
-    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
 
     def to_sets(batches):
         for b in slices(batches):
             sets = shingle_sets(b.column(1), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *b.columns[2:]], names=["id", "set", *b.schema.names[2:]])
 
-    # a merge join at every size: the candidates grow with the table
-    sets = named.join(chunks.hint("merge"), "id").select("id", "text", "root", "chunk", "chunks").mapInArrow(to_sets, "id long, set binary, root long, chunk int, chunks int")
-    dealt = sets.withColumn("p", F.explode(pair)).select("id", "set", "root", "chunk", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("root", "i", "j"), F.lit(2 * n)).cast("int"))
-
-    def compare(table):
+    def compare(star, table):
+        """Links of each pair of chunks; with ``star``, (id, null) too for sets that reach the first chunk's largest component."""
         groups: dict = {}
-        cols = [table.column(c).to_pylist() for c in ("root", "i", "j", "chunk", "id")]
-        for k, (root, i, j, chunk, doc) in enumerate(zip(*cols, strict=True)):
-            groups.setdefault((root, i, j), ([], []))[chunk != i].append((doc, k))
+        cols = [table.column(c).to_pylist() for c in ("root", "i", "j", "left", "id")]
+        for k, (root, i, j, left, doc) in enumerate(zip(*cols, strict=True)):
+            groups.setdefault((root, i, j), ([], []))[not left].append((doc, k))
         blob, out = table.column("set"), []
-        read = lambda side: [np.frombuffer(blob[k].as_buffer(), np.uint64) for _, k in side]
-        for (_, i, j), (left, right) in groups.items():
-            if i == j:
-                if len(left) > 1:
-                    t = SignatureTree(read(left))
-                    out += [(left[x][0], left[y][0]) for x, y in find(t, t, num, den)]
-            elif left and right:
-                out += [(left[x][0], right[y][0]) for x, y in find(SignatureTree(read(left)), SignatureTree(read(right)), num, den)]
+        for (_, i, j), sides in groups.items():
+            left, right = (sorted(x, key=lambda d: (d[0], blob[d[1]].as_py())) for x in sides)
+            a, b = (SignatureTree([np.frombuffer(blob[k].as_buffer(), np.uint64) for _, k in x]) if x else None for x in (left, right))
+            # in every task of a star the first chunk is the same and comes to the same components
+            own = find(a, a, num, den) if left and (star or not right and i == j) else []
+            across = find(a, b, num, den) if left and right else []
+            out += [(left[x][0], left[y][0]) for x, y in (own if not right else [])] + [(left[x][0], right[y][0]) for x, y in across]
+            if star and left:
+                n, m = len(left), len(left) + len(right)
+                x, y = (np.array(z, np.int64) for z in zip(*own)) if own else (np.zeros(0, np.int64),) * 2
+                core = np.bincount(local_roots(n, x, y)).argmax()
+                p, q = (np.array(z, np.int64) for z in zip(*across)) if across else (np.zeros(0, np.int64),) * 2
+                up = local_roots(m, np.concatenate([x, p]), np.concatenate([y, q + n]))
+                ids = [d for d, _ in (*left, *right)]
+                out += [(ids[k], None) for k in np.flatnonzero(up == up[core]).tolist() if k >= n or not right]
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    return dealt.groupBy("task").applyInArrow(compare, "a long, b long"), equal, met, chunks
-
-
-def jaccard_components(df: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    def compared(placed, pairs, star=False):
+        """Links between the documents (id, root) of each pair of chunks that ``pairs``, an array of (i, j, left), has them in."""
+        # a merge join at every size: the candidates grow with the table
+        sets = named.join(placed.select("id", "root", pairs.alias("pairs")).hint("merge"), "id").select("id", "text", "root", "pairs").mapInArrow(to_sets, "id long, set binary, root long, pairs array<struct<i:int,j:int,left:boolean>>")
+        dealt = sets.select("id", "set", "root", F.inline("pairs")).withColumn("task", F.pmod(F.xxhash64("root", "i", "j"), F.lit(2 * n)).cast("int"))
+        return dealt.groupBy("task").applyInArrow(lambda table: compare(star, table), "a long, b long")
+
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), left.alias("left"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own, first = F.col("chunk"), F.lit(0)
+    every = F.transform(upto("chunks"), lambda k: place(F.least(k, own), F.greatest(k, own), own <= k))
+    settled = [met, chunks] if whole else [met, chunks, copies]
+    if whole or not chunks.where("chunks > 2").limit(1).count():
+        return compared(chunks, every), equal, settled
+    star = F.when(own == 0, F.transform(upto("chunks"), lambda k: place(first, k, F.lit(True)))).otherwise(F.array(place(first, own, F.lit(False))))
+    links = settle(compared(chunks.where("chunks > 2"), star, True))
+    inside = links.where("b is null").select(F.col("a").alias("id"), F.lit(True).alias("inside")).distinct()
+    # sets outside the core of their group meet all others of it
+    seen = chunks.where("chunks > 2").join(inside, "id", "left").select("id", "root", "chunk", "chunks", F.col("inside").isNull().alias("out"))
+    parted = settle(with_whole(seen, "root", "id", F.sum(F.col("out").cast("long")), F.sum, "outside").where("outside > 0").withColumn("sets", F.ceil(F.col("outside") / chunk).cast("int")))
+    mine = F.pmod(F.xxhash64("id", F.lit(1)), F.col("sets")).cast("int")
+    meet_all = F.transform(upto("sets"), lambda k: place(k, own, F.lit(False)))
+    from_outside = F.transform(upto("chunks"), lambda k: place(mine, k, F.lit(True)))
+    # the small groups go with them, a pair of chunks each
+    rest = parted.select("id", "root", F.when(F.col("out"), F.concat(meet_all, from_outside)).otherwise(meet_all).alias("pairs"))
+    small = chunks.where("chunks <= 2").select("id", "root", every.alias("pairs"))
+    rest = compared(rest.unionByName(small), F.col("pairs"))
+    return links.where("b is not null").unionByName(rest), equal, [*settled, links, parted]
+
+
+#: Set digest and id.
+_SET = np.dtype([("x", "<u8"), ("y", "<u8"), ("id", "<i8")])
+
+
+def jaccard_components(df: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Per document: id_col, n_shingles and component_id, the smallest id that links of Jaccard num/den reach.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered. Fewer words than a
     shingle: the whole sequence is one. Null text or none: an empty set that
-    links with nothing; its component is its own id. Rows of one id are one
-    document for linking. A null id has no component. Equal sets link. Empty
-    table: no rows.
+    links with nothing; its component is its own id. Very long texts are taken
+    whole. Ids must be whole numbers; rows of one id are one document for
+    linking, each with its own n_shingles. A null id has no component. Equal
+    sets link. Other columns are not read. Empty table: no rows. ``chunk``:
+    documents of a chunk; the result is the same for any number.
     """
-    found = jaccard_roots(df, shingle, num, den, id_col, text)
+    found = jaccard_roots(df, shingle, num, den, id_col, text, chunk)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def count(batches):
