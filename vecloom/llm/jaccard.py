@@ -34,7 +34,7 @@ from vecloom.llm.common import components, deal, drop_settled, flat_bytes, grams
 BITS = 2048
 FAN = 8
 #: Documents of a chunk; a group of candidates is compared in pairs of chunks.
-CHUNK = 512
+CHUNK = 1024
 #: A part that more documents hold is common.
 COMMON = 8
 #: Added to a class for the keys of sets with many empty parts.
@@ -429,12 +429,16 @@ def _links(df, shingle, num, den, id_col, text, chunk, whole=False):
     inside = links.where("b is null").select(F.col("a").alias("id"), F.lit(True).alias("inside")).distinct()
     # sets outside the core of their group meet all others of it
     seen = chunks.where("chunks > 2").join(inside, "id", "left").select("id", "root", "chunk", "chunks", F.col("inside").isNull().alias("out"))
-    parted = settle(with_whole(seen, "root", "id", F.sum(F.col("out").cast("long")), F.sum, "outside").where("outside > 0").withColumn("sets", F.ceil(F.col("outside") / chunk).cast("int")))
-    mine = F.pmod(F.xxhash64("id", F.lit(1)), F.col("sets")).cast("int")
-    meet_all = F.transform(upto("sets"), lambda k: place(k, own, F.lit(False)))
-    from_outside = F.transform(upto("chunks"), lambda k: place(mine, k, F.lit(True)))
+    # both counts of a group in one number: outsiders below, the others above
+    parted = with_whole(seen, "root", "id", F.sum(F.when(F.col("out"), F.lit(1)).otherwise(F.lit(1 << 32))), F.sum, "both").withColumn("outside", F.col("both") % (1 << 32)).where("outside > 0")
+    parted = parted.withColumn("sets", F.ceil(F.col("outside") / chunk).cast("int")).withColumn("others", F.ceil(F.floor(F.col("both") / (1 << 32)) / chunk).cast("int"))
+    parted = settle(parted.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("out"), F.col("sets")).otherwise(F.col("others"))).cast("int")).select("id", "root", "out", "sets", "others", "mine"))
+    m = F.col("mine")
+    among = F.transform(upto("sets"), lambda k: place(F.least(k, m), F.greatest(k, m), m <= k))
+    with_others = F.when(F.col("others") > 0, F.transform(upto("others"), lambda k: place(m, F.col("sets") + k, F.lit(True)))).otherwise(F.slice(among, 1, 0))
+    from_others = F.transform(upto("sets"), lambda k: place(k, F.col("sets") + m, F.lit(False)))
     # the small groups go with them, a pair of chunks each
-    rest = parted.select("id", "root", F.when(F.col("out"), F.concat(meet_all, from_outside)).otherwise(meet_all).alias("pairs"))
+    rest = parted.select("id", "root", F.when(F.col("out"), F.concat(among, with_others)).otherwise(from_others).alias("pairs"))
     small = chunks.where("chunks <= 2").select("id", "root", every.alias("pairs"))
     rest = compared(rest.unionByName(small), F.col("pairs"))
     return links.where("b is not null").unionByName(rest), equal, [*settled, links, parted]
