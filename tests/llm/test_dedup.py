@@ -156,6 +156,42 @@ def test_jaccard_keys_meet():
                     assert any(c >= 128 or k >= 2 * parts.half(c) - 1 for c, k in per.items()), (n, per)
 
 
+def test_linked_sets_share_their_number_of_keys():
+    """Of parts or, where many are empty, of smallest shingles."""
+    rng = np.random.default_rng(3)
+    for num, den in ((9, 10), (8, 10), (1, 2)):
+        parts, prefixes = jaccard.Parts(num, den), 0
+        for n in (1, 2, 3, 4, 6, 9, 14, 20, 33, 48, 62, 85, 160, 215, 400):
+            for _ in range(60):
+                s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                spoilt = parts.differ(len(s))
+                drop = int(rng.integers(0, spoilt + 1))
+                t = np.unique(np.concatenate([s[rng.permutation(len(s))[drop:]], rng.integers(0, 1 << 63, spoilt - drop, dtype=np.uint64)]))
+                if jaccard.linked(s, t, num, den):
+                    both = np.intersect1d(parts.keys(s), parts.keys(t)) & np.uint64(255)
+                    enough = [c for c in np.unique(both).astype(int).tolist() if (both == c).sum() >= 2 * parts.half(c) - 1]
+                    assert enough, (num, n)
+                    prefixes += max(enough) >= 128
+        assert prefixes > 20
+
+
+def test_chains_of_candidates_stay_in_a_class(spark, monkeypatch):
+    """Each is a window over the same words that overlaps with the next, none links; sizes grow along the chain."""
+    rows, at = [], 0.0
+    for i in range(24):
+        size = 60 * 1.1**i
+        rows.append((i, " ".join(f"w{k}" for k in range(int(at), int(at + size)))))
+        at += size / 5
+    rows.append((100, rows[5][1] + " end"))
+    groups = []
+    whole = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: groups.append(whole(edges)) or groups[-1])
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 8, 10)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: 5 if d == 100 else d for d, _ in rows}
+    sizes = [r["count"] for r in groups[0].groupBy("root").count().collect()]
+    assert sum(sizes) > 12 and max(sizes) <= 8
+
+
 def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(120)]

@@ -14,7 +14,8 @@ where pairs are counted, or half in parts that many hold, and then both
 documents have that many such parts: passages that many documents share make
 no candidates, and only a few of those documents are sent to the part's bucket from
 each slice of the table. Of equal sets, found by a 128-bit hash, one stands for
-all. Candidates form groups, dealt into chunks. A group of more than two chunks
+all. Candidates form groups within one class of sizes, so that chains of
+candidates do not run through all sizes; groups are dealt into chunks. A group of more than two chunks
 is first compared as a star, each chunk with the first one, which costs a row or
 two a document; only the sets that this doesn't join to the first chunk's own
 largest component are then compared with all the others, so near copies of one
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.llm.blocks import group_messages
 from vecloom.llm.common import components, deal, drop_settled, flat_bytes, grams, local_roots, mix, settle, slices, whole_numbers, with_whole, words_of
 
 BITS = 2048
@@ -87,7 +89,8 @@ class Parts:
     Such sets, the smaller of size a, differ in at most a x (den/num - 1)
     shingles, each of which spoils one part; the ``spare`` parts beyond are
     equal. A set with more than half of those empty also gives its smallest
-    shingles, a prefix of which any linked pair of such sets shares one.
+    shingles: of as many as can differ and ``prefix`` more, any linked pair of
+    such sets shares ``prefix``.
     """
 
     def __init__(self, num: int, den: int):
@@ -100,13 +103,18 @@ class Parts:
         """Parts spoilt at most, and parts."""
         if c not in self.known:
             most = self.differ(_class_bounds(c)[1] - 1)
-            self.known[c] = most, most + 2 + most // 4
+            self.known[c] = most, most + 4 + most // 4
         return self.known[c]
 
+    def prefix(self, c: int) -> int:
+        """Smallest shingles beyond those that can differ: as many as parts are shared, if the smallest set of the class has them."""
+        most, parts = self.of_class(c)
+        return max(1, min(parts - most - (parts - most) // 2, _class_bounds(c)[0] - most))
+
     def half(self, c: int) -> int:
-        """Half of the parts, rounded up, that linked sets share if at most half of the spare ones are empty."""
+        """Half of the keys, rounded up, that linked sets share: parts, if at most half of the spare ones are empty, or smallest shingles."""
         if c >= _PREFIX:
-            return 1
+            return -(-self.prefix(c - _PREFIX) // 2)
         most, parts = self.of_class(c)
         spare = parts - most
         return -(-(spare - spare // 2) // 2)
@@ -125,7 +133,7 @@ class Parts:
             full = np.flatnonzero(np.bincount(part, minlength=parts))
             out.append(mix(total[full] + full.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) & _HASH | np.uint64(k))
             if parts - len(full) > (parts - most) // 2:
-                out.append(mix(s[: most + 1]) & _HASH | np.uint64(k + _PREFIX))
+                out.append(mix(s[: most + self.prefix(k)]) & _HASH | np.uint64(k + _PREFIX))
         return np.concatenate(out)
 
 
@@ -362,24 +370,30 @@ def _links(df, shingle, num, den, id_col, text, chunk, whole=False):
         flat = [np.concatenate([np.broadcast_to(r[c], len(r[1])) for r in rows]) if rows else np.zeros(0, np.int64) for c in range(5)]
         return pa.table([pa.array(x.astype(np.int64)) for x in flat], names=["kind", "a", "b", "cls", "n"])
 
-    met = settle(named.mapInArrow(send_keys, "bucket int, keys binary, ids binary, at binary").groupBy("bucket").applyInArrow(meet, "kind long, a long, b long, cls long, n long"))
+    met = settle(group_messages(named.mapInArrow(send_keys, "bucket int, keys binary, ids binary, at binary"), "bucket", meet, "kind long, a long, b long, cls long, n long"))
     parts = Parts(num, den)
-    half = F.create_map(*[F.lit(x) for c in range(_PREFIX) for x in (c, parts.half(c) if _class_small(c) else 1 << 40)], *[F.lit(x) for c in range(_PREFIX, 2 * _PREFIX) for x in (c, 1)])
+    half = F.create_map(*[F.lit(x) for c in range(_PREFIX) for x in (c, parts.half(c) if _class_small(c) else 1 << 40)], *[F.lit(x) for c in range(_PREFIX) for x in (c + _PREFIX, parts.half(c + _PREFIX) if _class_small(c) else 1 << 40)])
     equal = met.where("kind = 1").select("a", "b")
     # a copy's links are its lead's; an id of several rows may have other texts too
     copies = equal.select(F.col("a").alias("gone")).distinct().join(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.col("gone") == F.col("id"), "left_anti")
     copies = copies if whole else settle(copies.select("gone"))
     alone = lambda df, c: df.join(copies, df[c] == copies["gone"], "left_anti")
-    rare = met.where("kind = 0").groupBy("a", "b", "cls").agg(F.sum("n").alias("n")).where(F.col("n") >= half[F.col("cls").cast("int")]).select("a", "b")
+    rare = met.where("kind = 0").groupBy("a", "b", "cls").agg(F.sum("n").alias("n")).where(F.col("n") >= half[F.col("cls").cast("int")]).select("a", "b", "cls")
     common = met.where("kind = 2").select(F.col("a").alias("key"), "b", "cls")
     rich = common.groupBy("b", "cls").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= half[F.col("cls").cast("int")]).select("b", "cls")
     if not whole:
         rare, rich = alone(alone(rare, "a"), "b"), alone(rich, "b")
     members = common.join(rich, ["b", "cls"])
-    groups = components(rare.unionByName(with_whole(members, "key", "b", F.min("b"), F.min, "a").select("a", "b")))
-    sized = with_whole(groups, "root", "node", F.count(F.lit(1)), F.sum, "n")
-    chunks = sized.select(F.col("node").alias("id"), "root", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    # a linked pair meets in the class of its smaller set; a document is in a group of each class that it has candidates in
+    near = settle(rare.unionByName(with_whole(members, "key", "b", F.min("b"), F.min, "a").select("a", "b", "cls")).where("a <> b").distinct())
+    # nodes are hashes of id and class; where two are equal, groups are one, which costs comparisons only
+    in_class = lambda x: F.xxhash64(x, "cls")
+    nodes = near.select(F.col("a").alias("id"), in_class("a").alias("node")).unionByName(near.select(F.col("b").alias("id"), in_class("b").alias("node"))).distinct()
+    groups = components(near.select(in_class("a").alias("a"), in_class("b").alias("b"))).join(nodes, "node").select("id", "root").distinct()
+    sized = with_whole(groups, "root", "id", F.count(F.lit(1)), F.sum, "n")
+    chunks = sized.select("id", "root", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     chunks = settle(chunks.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
+    drop_settled(near)
 
     def to_sets(batches):
         for b in slices(batches):
@@ -387,19 +401,19 @@ def _links(df, shingle, num, den, id_col, text, chunk, whole=False):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *b.columns[2:]], names=["id", "set", *b.schema.names[2:]])
 
     def compare(star, table):
-        """Links of each pair of chunks; with ``star``, (id, null) too for sets that reach the first chunk's largest component."""
+        """Links (a, b, group) of each pair of chunks; with ``star``, (id, null, group) too for sets that reach the first chunk's largest component."""
         groups: dict = {}
         cols = [table.column(c).to_pylist() for c in ("root", "i", "j", "left", "id")]
         for k, (root, i, j, left, doc) in enumerate(zip(*cols, strict=True)):
             groups.setdefault((root, i, j), ([], []))[not left].append((doc, k))
         blob, out = table.column("set"), []
-        for (_, i, j), sides in groups.items():
+        for (root, i, j), sides in groups.items():
             left, right = (sorted(x, key=lambda d: (d[0], blob[d[1]].as_py())) for x in sides)
             a, b = (SignatureTree([np.frombuffer(blob[k].as_buffer(), np.uint64) for _, k in x]) if x else None for x in (left, right))
             # in every task of a star the first chunk is the same and comes to the same components
             own = find(a, a, num, den) if left and (star or not right and i == j) else []
             across = find(a, b, num, den) if left and right else []
-            out += [(left[x][0], left[y][0]) for x, y in (own if not right else [])] + [(left[x][0], right[y][0]) for x, y in across]
+            out += [(left[x][0], left[y][0], root) for x, y in (own if not right else [])] + [(left[x][0], right[y][0], root) for x, y in across]
             if star and left:
                 n, m = len(left), len(left) + len(right)
                 x, y = (np.array(z, np.int64) for z in zip(*own)) if own else (np.zeros(0, np.int64),) * 2
@@ -407,15 +421,15 @@ def _links(df, shingle, num, den, id_col, text, chunk, whole=False):
                 p, q = (np.array(z, np.int64) for z in zip(*across)) if across else (np.zeros(0, np.int64),) * 2
                 up = local_roots(m, np.concatenate([x, p]), np.concatenate([y, q + n]))
                 ids = [d for d, _ in (*left, *right)]
-                out += [(ids[k], None) for k in np.flatnonzero(up == up[core]).tolist() if k >= n or not right]
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                out += [(ids[k], None, root) for k in np.flatnonzero(up == up[core]).tolist() if k >= n or not right]
+        return pa.table([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["a", "b", "root"])
 
     def compared(placed, pairs, star=False):
         """Links between the documents (id, root) of each pair of chunks that ``pairs``, an array of (i, j, left), has them in."""
         # a merge join at every size: the candidates grow with the table
         sets = named.join(placed.select("id", "root", pairs.alias("pairs")).hint("merge"), "id").select("id", "text", "root", "pairs").mapInArrow(to_sets, "id long, set binary, root long, pairs array<struct<i:int,j:int,left:boolean>>")
         dealt = sets.select("id", "set", "root", F.inline("pairs")).withColumn("task", F.pmod(F.xxhash64("root", "i", "j"), F.lit(2 * n)).cast("int"))
-        return dealt.groupBy("task").applyInArrow(lambda table: compare(star, table), "a long, b long")
+        return group_messages(dealt, "task", lambda table: compare(star, table), "a long, b long, root long")
 
     place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), left.alias("left"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -423,12 +437,12 @@ def _links(df, shingle, num, den, id_col, text, chunk, whole=False):
     every = F.transform(upto("chunks"), lambda k: place(F.least(k, own), F.greatest(k, own), own <= k))
     settled = [met, chunks] if whole else [met, chunks, copies]
     if whole or not chunks.where("chunks > 2").limit(1).count():
-        return compared(chunks, every), equal, settled
+        return compared(chunks, every).select("a", "b"), equal, settled
     star = F.when(own == 0, F.transform(upto("chunks"), lambda k: place(first, k, F.lit(True)))).otherwise(F.array(place(first, own, F.lit(False))))
     links = settle(compared(chunks.where("chunks > 2"), star, True))
-    inside = links.where("b is null").select(F.col("a").alias("id"), F.lit(True).alias("inside")).distinct()
+    inside = links.where("b is null").select(F.col("a").alias("id"), "root", F.lit(True).alias("inside")).distinct()
     # sets outside the core of their group meet all others of it
-    seen = chunks.where("chunks > 2").join(inside, "id", "left").select("id", "root", "chunk", "chunks", F.col("inside").isNull().alias("out"))
+    seen = chunks.where("chunks > 2").join(inside, ["id", "root"], "left").select("id", "root", "chunk", "chunks", F.col("inside").isNull().alias("out"))
     # both counts of a group in one number: outsiders below, the others above
     parted = with_whole(seen, "root", "id", F.sum(F.when(F.col("out"), F.lit(1)).otherwise(F.lit(1 << 32))), F.sum, "both").withColumn("outside", F.col("both") % (1 << 32)).where("outside > 0")
     parted = parted.withColumn("sets", F.ceil(F.col("outside") / chunk).cast("int")).withColumn("others", F.ceil(F.floor(F.col("both") / (1 << 32)) / chunk).cast("int"))
@@ -441,7 +455,7 @@ def _links(df, shingle, num, den, id_col, text, chunk, whole=False):
     rest = parted.select("id", "root", F.when(F.col("out"), F.concat(among, with_others)).otherwise(from_others).alias("pairs"))
     small = chunks.where("chunks <= 2").select("id", "root", every.alias("pairs"))
     rest = compared(rest.unionByName(small), F.col("pairs"))
-    return links.where("b is not null").unionByName(rest), equal, [*settled, links, parted]
+    return links.where("b is not null").unionByName(rest).select("a", "b"), equal, [*settled, links, parted]
 
 
 #: Set digest and id.
