@@ -339,6 +339,25 @@ def test_nbest_of_random_texts():
         assert all(m.decode(i) == t for _, i in got)
 
 
+def test_ways_to_cut_are_found_once():
+    """A segment that is near in many texts is searched in one; results don't depend on what the memo holds."""
+    m = pieces.model(P.path("piece_bpe_32k.model"))
+    texts = [f"{w} naïvely zq☃x {w}" for w in ("one", "two", "three", "four")] + [None, "", "one\n two", "zq☃x"]
+    alone = [pieces.encode_nbest(m, [t], 3, {})[0] for t in texts]
+    memo, searched = {}, []
+
+    class Spy(type(m)):
+        def nbest(self, segment, n):
+            searched.append((segment, n))
+            return super().nbest(segment, n)
+
+    spy = Spy.__new__(Spy)
+    spy.__dict__ = m.__dict__
+    assert [x for k in range(0, len(texts), 2) for x in pieces.encode_nbest(spy, texts[k : k + 2], 3, memo)] == alone
+    assert len(searched) == len(set(searched)) > 0
+    assert alone[4] == alone[5] == [(0, [])]
+
+
 def test_merge_order_counts_as_rank():
     m = pieces.model(P.path("piece_bpe_32k.model"))
     cut = lambda t: [m.piece_bytes[i].decode() for i in pieces.encode_nbest(m, [t], 1, {})[0][0][1]]

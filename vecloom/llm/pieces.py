@@ -237,27 +237,45 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_nbest(m: PieceModel, texts: list[str | None], n: int, memo: dict) -> list[list[tuple[float, list[int]]]]:
-    """For each text its n best (score, ids), best first; null is empty."""
+def _nbest_arrays(m: PieceModel, texts: list[str | None], n: int, memo: dict) -> list[list[tuple[float, np.ndarray]]]:
+    """For each text its n best (score, ids), best first; null is empty.
+
+    memo: places of segments solved so far, under None what is known of them
+    (score, loss of the second best, number of ids, first id's place, ids on
+    end), under (segment, n) the ways to cut it.
+    """
     if len(memo) > MEMO:
         memo.clear()
     split = [m.split(m.normalise(t or "")) for t in texts]
     new = list(set(chain.from_iterable(split)).difference(memo))
-    memo.update(zip(new, m.solve(new), strict=True))
+    score, loss, size, begin, flat = memo.get(None) or (np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    if new:
+        s, d, ids = zip(*m.solve(new), strict=True)
+        own = np.fromiter(map(len, ids), np.int64, len(ids))
+        memo.update(zip(new, range(len(score), len(score) + len(new)), strict=True))
+        begin = np.concatenate([begin, len(flat) + np.cumsum(own) - own])
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.int32, int(own.sum()))])
+        score, loss, size = np.concatenate([score, s]), np.concatenate([loss, d]), np.concatenate([size, own])
+        memo[None] = score, loss, size, begin, flat
     out = []
     for segs in split:
-        score, loss, ids = zip(*map(memo.__getitem__, segs), strict=True) if segs else ((), (), ())
-        total, base, loss = sum(score), list(chain.from_iterable(ids)), np.array(loss)
-        places = [int(k) for k in np.argsort(loss, kind="stable")[: n - 1] if math.isfinite(loss[k])] if n > 1 and segs else []
-        begin = {k: sum(map(len, ids[:k])) for k in places}
-        ways = {k: m.nbest(segs[k], n) for k in places}
+        at = np.fromiter(map(memo.__getitem__, segs), np.int64, len(segs))
+        total, lost_at, held = sum(score[at].tolist()), loss[at], size[at]
+        first = np.cumsum(held) - held
+        base = flat[np.repeat(begin[at] - first, held) + np.arange(held.sum())]
+        places = [int(k) for k in np.argsort(lost_at, kind="stable")[: n - 1] if math.isfinite(lost_at[k])] if n > 1 else []
+        ways = {}
+        for k in places:
+            if (segs[k], n) not in memo:
+                memo[segs[k], n] = m.nbest(segs[k], n)
+            ways[k] = memo[segs[k], n]
         heap, seen, found = [(0.0, (0,) * len(places))], {(0,) * len(places)}, []
         while heap and len(found) < n:
             lost, pick = heapq.heappop(heap)
             full = base
             for k, p in sorted(zip(places, pick, strict=True), reverse=True):
                 if p:
-                    full = full[: begin[k]] + list(ways[k][p][1]) + full[begin[k] + len(ids[k]) :]
+                    full = np.concatenate([full[: first[k]], np.array(ways[k][p][1], np.int32), full[first[k] + held[k] :]])
             found.append((total - lost, full))
             for d, k in enumerate(places):
                 nxt = (*pick[:d], pick[d] + 1, *pick[d + 1 :])
@@ -268,6 +286,11 @@ def encode_nbest(m: PieceModel, texts: list[str | None], n: int, memo: dict) ->
     return out
 
 
+def encode_nbest(m: PieceModel, texts: list[str | None], n: int, memo: dict) -> list[list[tuple[float, list[int]]]]:
+    """For each text its n best (score, ids), best first; null is empty."""
+    return [[(s, ids.tolist()) for s, ids in found] for found in _nbest_arrays(m, texts, n, memo)]
+
+
 def encode_documents(df: DataFrame, path: str, n: int = 3, id_col: str = "doc_id", text: str = "text", with_ids: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
     """Each text's n best segmentations, and whether the best decodes to the text again.
 
@@ -299,9 +322,9 @@ def encode_documents(df: DataFrame, path: str, n: int = 3, id_col: str = "doc_id
         for b in batches:
             for begin, texts in groups(b.column(1)):
                 rows = []
-                for t, found in zip(texts, encode_nbest(m, texts, n, memo), strict=True):
-                    best = found[0][1]
-                    crc = [zlib.crc32(np.array(ids, dtype="<u4").tobytes()) for _, ids in found]
+                for t, found in zip(texts, _nbest_arrays(m, texts, n, memo), strict=True):
+                    best = found[0][1].tolist()
+                    crc = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in found]
                     rows.append((len(best), crc[0], [s for s, _ in found], crc, m.decode(best) == (t or "").replace(SPACE, " "), *([best] if with_ids else [])))
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(texts)), *[pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds)]], names=[id_col, "n_pieces", "ids_crc32", "nbest_scores", "nbest_crc32", "decoded_ok", *["ids"] * with_ids])
