@@ -2,7 +2,7 @@ import brute
 import numpy as np
 import pytest
 
-from vecloom.llm import jaccard, neardup, substring, suffix
+from vecloom.llm import blocks, jaccard, neardup, substring, suffix
 
 
 def tuples(df):
@@ -100,6 +100,22 @@ def test_suffixes_of_crowded_sides(spark, hot):
     assert tuples(suffix.deduplicate(df, hot=hot)) == brute.suffixes(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_suffixes_of_rows_in_any_order(spark, documents, corpus, monkeypatch, hot):
+    """Between executors a shuffle brings a block's rows in another order each round; rows of one id, or without one, too."""
+    turn = iter((1, -1))
+
+    def shuffled(docs, replies, f, *schema):
+        step = next(turn)
+        return blocks.answer(docs, replies, lambda table, own: f(table.take(list(range(len(table)))[::step]), own), *schema)
+
+    monkeypatch.setattr(suffix, "answer", shuffled)
+    rows = [((None, 0, d)[k % 3], t) for k, (d, t) in enumerate(corpus)]
+    got = suffix.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), hot=hot).collect()
+    want = brute.suffixes([(k, t) for k, (_, t) in enumerate(rows)])
+    assert sorted(map(tuple, got), key=str) == sorted(((d, *x[1:]) for (d, _), x in zip(rows, want, strict=True)), key=str)
+
+
 def test_memory_of_a_crowded_side():
     """200,000 surroundings of one line: the strings of a block are hashed a stretch at a time, contexts are at most HOT."""
     import resource

@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,15 @@ def unique_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return k[new], at, np.bincount(at, minlength=int(new.sum()))
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """A block's rows by id and text.
+
+    Places in a block are kept from one round to the next, and a shuffle brings
+    its rows in another order each time; rows that are alike in both are equal.
+    """
+    return table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")]))
+
+
 class _Texts:
     """A block's texts as bytes, with anchors and the hashes of what surrounds them."""
 
@@ -201,6 +211,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", kept:
     def send_contexts(table, replies):
         if not len(table):
             return messages([])
+        table = in_order(table)
         t, block = _Texts(table), table.column("block")[0].as_py()
         kinds = replies.column("kind").to_pylist()
         get = lambda kind, col, dtype: np.concatenate([np.zeros(0, dtype)] + [np.frombuffer(replies.column(col)[k].as_buffer(), dtype) for k, x in enumerate(kinds) if x == kind])
@@ -317,6 +328,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", kept:
     def cut_out(table, replies):
         if not len(table):
             return pa.table([[]] * 6, schema=_OUT)
+        table = in_order(table)
         t = _Texts(table)
         edge = np.zeros(len(t.data) + 1, np.int32)
         kinds = replies.column("kind").to_pylist()
