@@ -2,7 +2,7 @@ import brute
 import numpy as np
 import pytest
 
-from vecloom.llm import blocks, jaccard, neardup, substring, suffix
+from vecloom.llm import blocks, common, jaccard, neardup, substring, suffix
 
 
 def tuples(df):
@@ -208,6 +208,31 @@ def test_chains_of_candidates_stay_in_a_class(spark, monkeypatch):
     assert sum(sizes) > 12 and max(sizes) <= 8
 
 
+@pytest.mark.parametrize("local", [0, 1 << 16])
+def test_components_by_rounds_and_in_a_task(spark, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL", local)
+    rng = np.random.default_rng(4)
+    chain, star = [(k + 1, k) for k in range(100, 140)], [(500, 500 + k) for k in range(1, 60)]
+    mixed = [*map(tuple, rng.integers(1000, 1200, (120, 2)).tolist()), (-(1 << 62), 1 << 62), (7, 7)]
+    for edges in ([], [(2, 9), (9, 2), (2, 11)], chain + star + mixed):
+        nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+        root = common.local_roots(len(nodes), *(np.array([nodes.index(e[c]) for e in edges if e[0] != e[1]], np.int64) for c in (0, 1)))
+        got = common.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3))
+        assert sorted(map(tuple, got.collect())) == [(x, nodes[r]) for x, r in zip(nodes, root.tolist(), strict=True)]
+
+
+def test_components_of_small_tables_take_few_stages(spark):
+    """Each shuffle costs the driver a thread for a minute, and memory, so a small table must not take the rounds of a large one."""
+    sc = spark.sparkContext
+    sc.setJobGroup("few stages", "")
+    try:
+        assert common.components(spark.range(1000).selectExpr("id a", "id + 1 b")).where("root <> 0").isEmpty()
+        jobs = sc.statusTracker().getJobIdsForGroup("few stages")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs) <= 12
+
+
 def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(120)]

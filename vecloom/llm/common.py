@@ -115,30 +115,44 @@ def with_whole(df: DataFrame, key: str, by: str, part, whole, out: str) -> DataF
     return salted.join(parts, [key, "__s"]).drop("__s")
 
 
+#: Up to so many edges, a megabyte, are joined in one task; a round of a larger table takes nine shuffles.
+LOCAL = 1 << 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the smallest node that is reachable.
 
     Large-star and small-star rounds on settled tables: each node's smallest
     neighbour comes from an aggregate with map-side combine, and goes back to
     salted rows, so a node that a third of all edges meet is spread over tasks.
-    No component is ever gathered in a task or the driver.
+    Rounds end when the edges are stars, or so few (LOCAL) that one task joins
+    them: each shuffle costs the driver a thread for a minute and megabytes for
+    its stage, however small the table. No more edges than that are ever
+    gathered in a task, none in the driver.
     """
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    said = None
-    while True:
+    while e.count() > LOCAL:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # stars: nobody has two centres, and no centre has one
+        ends = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m"))
+        if ends.where("m < u and n > 1").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         low = with_whole(both, "u", "v", F.min("v"), F.min, "m")
         large = low.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = with_whole(large, "u", "v", F.min("v"), F.min, "m")
         small = low.select(F.explode(F.expr("if(v = m, array(struct(u, m as v)), array(struct(u, m as v), struct(v as u, m as v)))")).alias("e"))
         out = settle(small.select("e.*").distinct())
-        now = out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_settled(e)
         e = out
-        if tuple(now) == said:
-            break
-        said = tuple(now)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+    def join(batches):
+        held = [np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))]) for b in batches]
+        if held:
+            nodes, at = np.unique(np.concatenate(held, 1), return_inverse=True)
+            u, v = at.reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[local_roots(len(nodes), u, v)])], names=["node", "root"])
+
+    return e.coalesce(1).mapInArrow(join, "node long, root long")
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
